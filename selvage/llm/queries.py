@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvage.llm import decontam, langid, packing, pii, simhash, toxicity
+from selvage.llm import decontam, embedding_dedup, langid, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
 from selvage.llm.common import table
 
 
@@ -52,6 +52,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(F.col("row").alias("doc_id"), "severity", "chance", "grade", (F.col("grade") > 0).alias("toxic"))
 
 
+def op2_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "whole")
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = sharding.tree(16)
+    placed = sharding.assign(table(spark, sf_dir, "documents"), root, sharding.grow(root))
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_components(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
@@ -61,6 +80,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op3_simhash, op4_packing, op5_decontaminate, op6_toxicity, op10_language)
+    f.__name__: f for f in (op1_pii, op2_suffix, op3_simhash, op4_packing, op5_decontaminate, op6_toxicity, op7_warc, op8_sharding, op9_embeddings, op10_language)
 }
 SQL: dict[str, str] = {}
