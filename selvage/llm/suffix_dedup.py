@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from selvage.llm.common import BYTE_VALUES, CHUNK_BYTES, RangeHash, chunks, cut, mix, tune
+from selvage.llm.common import BYTE_VALUES, CHUNK_BYTES, RangeHash, chunks, cut, mix, release, tune
 
 #: Bytes of a repeat, of the core that a group shares, and distinct surroundings of a group that one task takes.
 LENGTH, CORE, MOST = 400, 100, 20_000
@@ -308,6 +308,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, mos
     group = W.partitionBy("key")
     shared = each.withColumn("m", F.count("*").over(group)).withColumn("n", F.sum("copies").over(group)).where("n > 1")
     shared = cut(shared.select("key", "context", "copies", "m", "at.*"))
+    release(docs.sparkSession)  # what a step has shuffled goes before the next one shuffles as much
     same = shared.where("m = 1").select("key", "context", F.col("left").alias("lo"), F.col("right").alias("hi"))
 
     def surroundings(rows: DataFrame) -> DataFrame:
@@ -324,6 +325,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, mos
         hit = strings.join(often, ["key", "back", "h"]).groupBy("key", "context").agg(F.max("back").alias("lo"), (F.lit(length) - F.min("back")).alias("hi"))
         reach = reach.union(hit.select("key", "context", "lo", "hi"))
     reach = cut(reach)
+    release(docs.sparkSession)
     places = docs.mapInArrow(_anchors(length, core, False), "key bigint, context bigint, d1 bigint, d2 bigint, pos int")
     covered = places.join(reach, ["key", "context"]).select("d1", "d2", F.struct((F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") + F.col("hi")).alias("b")).alias("r"))
     return covered.groupBy("d1", "d2").agg(F.collect_set("r").alias("ranges"))
@@ -341,6 +343,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("id", F.xxhash64("id", "text").alias("d1"), F.xxhash64("text", F.lit(1), "id").alias("d2"), "text")
     # the ranges need texts long enough only
     ranges = cut(repeated_ranges(rows.where(F.octet_length("text") >= length).select("d1", "d2", "text"), length, core, most))
+    release(docs.sparkSession)
     done = rows.join(ranges, ["d1", "d2"], "left").select("id", "text", "ranges")
     schema = T.StructType([rows.schema["id"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return done.mapInArrow(_remove, schema)
