@@ -1,14 +1,14 @@
-"""Helpers that the operators share: session settings, cutting lineage, byte hashing, connected components."""
+"""Helpers that the operators share: session settings, byte hashing, union-find."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from selvage.operators.graph import components, cut, shared_folder  # noqa: F401
 
 #: Rows in an Arrow batch; with BATCH_BYTES it bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
@@ -25,26 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a purely local session without one gets a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="selvage-checkpoint-")
-        sc.setCheckpointDir(folder)
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that lost executors cost no recomputation; Spark removes the files when
-    nothing refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark's context cleaner drop the shuffle files of jobs that nothing refers to any more.
 
@@ -109,7 +89,7 @@ class RangeHash:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
 
 
-# --- union-find and connected components -----------------------------------------------------------------------
+# --- union-find ---------------------------------------------------------------------------------------------------
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None) -> np.ndarray:
@@ -130,32 +110,3 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None = None
             label = jumped
         if np.array_equal(label, before):
             return label
-
-
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """Connected components of links(a, b), both long and not null: node, component (its smallest node).
-
-    Alternates large-star and small-star steps: each is a minimum by node (combined before the shuffle) joined back to
-    the links, so a hub is never gathered in one task, and the number of rounds grows with the logarithm of the size.
-    Every round is checkpointed.
-    """
-    edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m0")).select("node", F.least("node", "m0").alias("m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        # large-star leaves links from a node to a smaller one; small-star joins all smaller neighbours to the smallest
-        large = cut(large)
-        low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        joined = large.join(low, F.col("a") == F.col("node"))
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("node").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
-            break
-        seen = tuple(now)
-    else:
-        raise RuntimeError("components did not converge")
-    nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return nodes.union(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -23,8 +23,10 @@ from selvage.llm.common import BYTE_VALUES, RangeHash, chunks, mix, tune
 
 #: Labelled documents to learn from, at most so many of each: clean ones and toxic ones.
 SAMPLE = 2500
-#: Features kept, at most.
-KEPT = 3000
+#: Features kept, at most; the least share of the toxic documents, and number of them, that have one.
+KEPT, LEAST_SHARE, LEAST = 3000, 0.01, 4
+#: Chance of any toxic grade from which a text is graded toxic: to miss one costs more than to lose a clean text.
+REJECT = 0.15
 _LETTER = np.array([c >= 128 or 97 <= c <= 122 for c in range(256)])
 _PREFIXES = (4, 5, 6)
 
@@ -50,6 +52,19 @@ def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate(own), np.concatenate(out), n_words
 
 
+def sketches(owner: np.ndarray, h: np.ndarray, n_words: np.ndarray) -> np.ndarray:
+    """The least hash of each text's three-word shingles; near copies mostly share it, other texts do not."""
+    total = int(n_words.sum())
+    own, h = owner[:total], h[:total]  # words come first, in the order of the text
+    out = np.zeros(len(n_words), dtype=np.uint64)
+    if total > 2:
+        same = own[2:] == own[:-2]
+        shingle = mix(h[:-2] * np.uint64(3) + h[1:-1] * np.uint64(5) + h[2:] * np.uint64(7))[same]
+        out[:] = np.iinfo(np.uint64).max
+        np.minimum.at(out, own[2:][same], shingle)
+    return out
+
+
 def _distinct(owner: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((h, owner))
     owner, h = owner[order], h[order]
@@ -77,7 +92,7 @@ class Model:
         return 1 / (1 + np.exp(self.thresholds[None, :] - score[:, None]))
 
 
-def fit_ordinal(x: np.ndarray, grades: np.ndarray, top: int, ridge: float = 0.01, rounds: int = 250) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grades: np.ndarray, top: int, ridge: float = 0.001, rounds: int = 300) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and ordered thresholds of greatest penalised likelihood, by Adam. grades: 0 to top."""
     w = np.zeros(x.shape[1])
     raw = np.zeros(top)  # t_1, then the logarithms of the steps
@@ -113,7 +128,7 @@ def fit(rows: list[tuple[np.ndarray, int, int]], kept: int = KEPT) -> Model:
     b = np.bincount(place, weights=~toxic[owner], minlength=len(every))
     odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
     sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    best = np.flatnonzero((sure > 3) & (a >= 4))
+    best = np.flatnonzero((sure > 3) & (odds > 2.5) & (a >= max(LEAST, LEAST_SHARE * toxic.sum())))
     best = np.sort(best[np.argsort(-sure[best], kind="stable")[:kept]])
     if not len(best):
         return none
@@ -134,9 +149,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(1).to_pylist()
         owner, h, n = hashed(texts)
+        sketch = sketches(owner, h, n)
         owner, h = _distinct(owner, h)
         cuts = np.searchsorted(owner, np.arange(len(texts) + 1))
-        yield pa.record_batch([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array(n.astype(np.int64))], names=["label", "features", "n_words"])
+        yield pa.record_batch([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary()), pa.array(n.astype(np.int64)), pa.array(sketch.view(np.int64))], names=["label", "features", "n_words", "sketch"])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
@@ -150,10 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     draw = F.xxhash64(F.lit(11), "id")
     some = own.where("label > 0").orderBy(draw, "id").limit(sample).union(own.where("label <= 0").orderBy(draw, "id").limit(sample))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("label", "text")
-    got = texts.mapInArrow(_features, "label int, features binary, n_words bigint")
-    rows = [(np.frombuffer(bytes(r["features"]), dtype=np.uint64), r["n_words"], max(0, r["label"])) for r in got.limit(3 * sample).toLocalIterator()]
-    rows.sort(key=lambda r: (r[2], r[1], len(r[0]), int(r[0].sum()) if len(r[0]) else 0))  # the order of rows must not matter
-    return fit(rows)
+    got = texts.mapInArrow(_features, "label int, features binary, n_words bigint, sketch bigint")
+    rows = [(max(0, r["label"]), r["sketch"], np.frombuffer(bytes(r["features"]), dtype=np.uint64), r["n_words"]) for r in got.limit(3 * sample).toLocalIterator()]
+    rows.sort(key=lambda r: (r[0], r[1], r[3], len(r[2]), int(r[2].sum()) if len(r[2]) else 0))  # the order of rows must not matter
+    # a group of near copies must not make its own words look toxic: one of them counts
+    own = {(label, sketch if n > 2 else i): (h, n, label) for i, (label, sketch, h, n) in enumerate(rows)}
+    return fit(list(own.values()))
 
 
 def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -162,15 +180,15 @@ def _score(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
             sizes = [len(b) if (b := x.as_buffer()) is not None else 0 for x in batch.column(1).cast(pa.binary())]
             for a, b in chunks(sizes):
                 p = model.chances(batch.column(1).slice(a, b - a).to_pylist())
-                grade = (p >= 0.5).sum(axis=1)
+                grade = (p[:, 0] >= REJECT) + (p[:, 1:] >= 0.5).sum(axis=1)
                 yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array(grade.astype(np.int32))], names=["row", "severity", "chance", "grade"])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, row: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, severity (expected grade), chance (of a grade over 0), grade (the highest that is more likely reached than
-    not): a row for each row of docs, no shuffle.
+    """row, severity (expected grade), chance (of a grade over 0), grade (0 below a chance of REJECT, else 1 and one
+    more for each further threshold that is more likely passed than not): a row for each row of docs, no shuffle.
 
     Null and empty texts have no feature: severity next to 0 and grade 0. Null ids and repeated rows stay.
     """
