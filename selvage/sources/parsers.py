@@ -50,7 +50,10 @@ def load(text: bytes) -> object:
             import yaml
         except ImportError:
             raise ValueError("not JSON, and no YAML library is installed") from None
-        return yaml.safe_load(text)
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as error:
+            raise ValueError(str(error)) from None
 
 
 class Rows:
