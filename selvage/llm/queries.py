@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvage.llm import decontam, embedding_dedup, langid, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
+from selvage.llm import decontam, embedding_dedup, langid, oracle, packing, pii, sharding, simhash, suffix_dedup, toxicity, warc
 from selvage.llm.common import table
 
 
@@ -82,4 +82,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_suffix, op3_simhash, op4_packing, op5_decontaminate, op6_toxicity, op7_warc, op8_sharding, op9_embeddings, op10_language)
 }
-SQL: dict[str, str] = {}
+#: The other contracts need XXH64, tokenizers or learned models; tests/llm compares those queries with brute force.
+SQL: dict[str, str] = {"op5_decontaminate": oracle.OP5, "op7_warc": oracle.OP7, "op9_embeddings": oracle.OP9}
