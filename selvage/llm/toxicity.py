@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from selvage.llm.common import BYTE_VALUES, RangeHash, chunks, mix, tune
 
 #: Labelled documents to learn from, at most so many of each: clean ones and toxic ones.
-SAMPLE = 2500
+SAMPLE = 1500
 #: Features kept, at most; the least share of the toxic documents, and number of them, that have one.
 KEPT, LEAST_SHARE, LEAST = 3000, 0.01, 4
 #: Chance of any toxic grade from which a text is graded toxic: to miss one costs more than to lose a clean text.
@@ -124,8 +124,8 @@ def fit(rows: list[tuple[np.ndarray, int, int]], kept: int = KEPT) -> Model:
     size = np.array([len(h) for h, _, _ in rows])
     owner = np.repeat(np.arange(len(rows)), size)
     every, place = np.unique(np.concatenate([h for h, _, _ in rows]), return_inverse=True)
-    a = np.bincount(place, weights=toxic[owner], minlength=len(every))
-    b = np.bincount(place, weights=~toxic[owner], minlength=len(every))
+    a = np.bincount(place[toxic[owner]], minlength=len(every))
+    b = np.bincount(place, minlength=len(every)) - a
     odds = np.log((a + 0.5) / (toxic.sum() + 1)) - np.log((b + 0.5) / ((~toxic).sum() + 1))
     sure = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     best = np.flatnonzero((sure > 3) & (odds > 2.5) & (a >= max(LEAST, LEAST_SHARE * toxic.sum())))
