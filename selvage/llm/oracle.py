@@ -7,8 +7,10 @@ _WORDS = "list_filter(string_split_regex(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVW
 OP5 = f"""WITH d AS (SELECT doc_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM documents),
 i AS (SELECT item_id, {_WORDS.format(t="coalesce(text, '')")} AS w FROM benchmark),
 x AS (SELECT item_id, least(10, len(w)) AS n, unnest(list_transform(generate_series(1, len(w) - least(10, len(w)) + 1), lambda k: array_to_string(w[k : k + least(10, len(w)) - 1], ' '))) AS g FROM i WHERE len(w) > 0),
-p AS (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS pos FROM d),
-h AS (SELECT p.doc_id, p.pos, n.n, x.item_id FROM p, (SELECT DISTINCT n FROM x) n JOIN x ON x.n = n.n WHERE p.pos + n.n - 1 <= len(p.w) AND x.g = array_to_string(p.w[p.pos : p.pos + n.n - 1], ' ')),
+ns AS (SELECT DISTINCT n FROM x),
+g AS (SELECT doc_id, n, list_transform(generate_series(1, len(w) - n + 1), lambda k: array_to_string(w[k : k + n - 1], ' ')) AS gs FROM d, ns WHERE len(w) >= n),
+p AS (SELECT doc_id, n, unnest(gs) AS g, unnest(generate_series(1, len(gs))) AS pos FROM g),
+h AS (SELECT p.doc_id, p.pos, p.n, x.item_id FROM p JOIN x ON p.n = x.n AND p.g = x.g),
 hits AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(generate_series(pos, pos + n - 1)) AS k FROM h) GROUP BY doc_id),
 items AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM h GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(CAST(len(ids) AS BIGINT), 0) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
