@@ -43,7 +43,8 @@ def lemma(token: Column) -> Column:
 
 def expanded(tokens_: Column, abbreviations: dict[str, str] = ABBREVIATIONS) -> Column:
     """Tokens with abbreviations spelt out, then stemmed."""
-    return F.transform(tokens_, lambda t: lemma(lookup(abbreviations, t, t)))
+    whole = F.transform(tokens_, lambda t: lookup(abbreviations, t, t))
+    return F.transform(whole, lemma)  # a step of its own: a stem looks at its word many times
 
 
 def head(tokens_: Column, prefer: Column | None = None) -> Column:

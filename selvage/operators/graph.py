@@ -37,7 +37,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps: each is a minimum by node (combined before the shuffle) joined back to
     the links, so a hub is never gathered in one task, and the number of rounds grows with the logarithm of the size.
-    Every round is checkpointed.
+    Every round is checkpointed; within a round Spark reuses the shuffle of the large-star's links.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -45,7 +45,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m0")).select("node", F.least("node", "m0").alias("m"))
         # large-star: larger neighbours go to the smallest one
-        large = cut(both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
+        large = both.where("b > a").join(low, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         # small-star: smaller neighbours and the node itself go to the smallest one
         low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         joined = large.join(low, F.col("a") == F.col("node"))
