@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,12 +73,21 @@ class Anchors:
         self.context = mix(self.hash(lo, hi) + self.left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, d1, d2, text to the same with the text compressed; the rest of the job moves and stores texts in that form."""
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        texts = [squeeze(x or b"") for x in batch.column(3).cast(pa.binary()).to_pylist()]
+        yield pa.record_batch([*batch.columns[:3], pa.array(texts, pa.binary())], names=["id", "d1", "d2", "z"])
+
+
 def _binary(column: pa.Array) -> list[bytes]:
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+    expand = zstandard.ZstdDecompressor().decompress
+    return [expand(x) for x in column.to_pylist()]
 
 
 def _anchors(length: int, core: int, combine: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """d1, d2, text to key, context, d1, d2, pos; combined: a row for each surroundings in a chunk of text, with copies, left, right."""
+    """d1, d2, z to key, context, d1, d2, pos; combined: a row for each surroundings in a chunk of text, with copies, left, right."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +252,7 @@ def _groups(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def _cut_out(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """text, at (list of key, context, copies, pos, left, right) to key, context, copies, left, bytes."""
+    """z, at (list of key, context, copies, pos, left, right) to key, context, copies, left, bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -277,7 +287,7 @@ def _strings(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, text, ranges to id, n_bytes, n_removed, n_spans, kept."""
+    """id, z, ranges to id, n_bytes, n_removed, n_spans, kept."""
     for batch in batches:
         out = []
         for text, ranges in zip(_binary(batch.column(1)), batch.column(2).to_pylist()):
@@ -301,7 +311,7 @@ _SURROUNDINGS = "key bigint, context bigint, copies bigint, left int, bytes bina
 
 
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, most: int = MOST) -> DataFrame:
-    """d1, d2, ranges: byte ranges (a, b), perhaps overlapping, of docs(d1, d2, text) that strings repeated anywhere cover."""
+    """d1, d2, ranges: byte ranges (a, b), perhaps overlapping, of docs(d1, d2, z: compressed text) that strings repeated anywhere cover."""
     found = docs.mapInArrow(_anchors(length, core, True), "key bigint, context bigint, d1 bigint, d2 bigint, pos int, copies bigint, left int, right int")
     # one shuffle, by core: copies of surroundings meet in it, and the members of each group are counted
     each = found.repartition("key").groupBy("key", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct("d1", "d2", "pos", "left", "right")).alias("at"))
@@ -313,7 +323,7 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, mos
 
     def surroundings(rows: DataFrame) -> DataFrame:
         by_doc = rows.groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "context", "copies", "pos", "left", "right")).alias("at"))
-        return docs.join(by_doc, ["d1", "d2"]).select("text", "at").mapInArrow(_cut_out(length, core), _SURROUNDINGS)
+        return docs.join(by_doc, ["d1", "d2"]).select("z", "at").mapInArrow(_cut_out(length, core), _SURROUNDINGS)
 
     dealt = surroundings(shared.where(F.col("m").between(2, most))).repartition("key").sortWithinPartitions("key", "context")
     reach = same.union(dealt.mapInArrow(_groups(length, core), "key bigint, context bigint, lo int, hi int"))
@@ -341,9 +351,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tune(docs.sparkSession)
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.select("id", F.xxhash64("id", "text").alias("d1"), F.xxhash64("text", F.lit(1), "id").alias("d2"), "text")
-    # the ranges need texts long enough only
-    ranges = cut(repeated_ranges(rows.where(F.octet_length("text") >= length).select("d1", "d2", "text"), length, core, most))
+    # one shuffle of the texts, compressed, dealt by document for good: both joins with them find them in place
+    kinds = T.StructType([rows.schema["id"]]).add("d1", "long").add("d2", "long").add("z", "binary")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cut(rows.select("id", "d1", "d2", "text").mapInArrow(_pack, kinds).repartition(parts, "d1", "d2"))
+    release(docs.sparkSession)
+    ranges = cut(repeated_ranges(rows.select("d1", "d2", "z"), length, core, most))
     release(docs.sparkSession)
-    done = rows.join(ranges, ["d1", "d2"], "left").select("id", "text", "ranges")
+    done = rows.join(ranges, ["d1", "d2"], "left").select("id", "z", "ranges")
     schema = T.StructType([rows.schema["id"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return done.mapInArrow(_remove, schema)
