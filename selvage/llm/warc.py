@@ -170,24 +170,40 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
 _SEGMENTS = "origin string, number int, total bigint, type string, refers string, url string, digest string, block binary"
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+def _files(batches: Iterator[pa.RecordBatch], whole: bool) -> Iterator[list[dict]]:
+    """Segments of one origin after the other: of origins that one file holds completely, or else of the others."""
     for batch in batches:
         for content in batch.column(0):
-            out: list[tuple] = []
-            size = 0
+            open_: dict[str, list[dict]] = {}
             for f, block in parsed(content.as_buffer().to_pybytes()):
-                if f["warc-type"] in ("response", "revisit", "continuation"):
-                    bare = lambda k: f.get(k, "").strip("<>") or None  # noqa: B023, E731
-                    origin = bare("warc-segment-origin-id") or bare("warc-record-id")
-                    total = f.get("warc-segment-total-length")
-                    out.append((origin, int(f.get("warc-segment-number", 0)), int(total) if total else None, f["warc-type"], bare("warc-refers-to"), f.get("warc-target-uri"), f.get("warc-payload-digest"), block))
-                    size += len(block)
-                if size > 1 << 20:
-                    yield _batch(names, out)
-                    out, size = [], 0
-            if out:
-                yield _batch(names, out)
+                if f["warc-type"] not in ("response", "revisit", "continuation"):
+                    continue
+                bare = lambda k: f.get(k, "").strip("<>") or None  # noqa: B023, E731
+                total = f.get("warc-segment-total-length")
+                row = {
+                    "origin": bare("warc-segment-origin-id") or bare("warc-record-id"), "number": int(f.get("warc-segment-number", 0)), "total": int(total) if total else None, "type": f["warc-type"],
+                    "refers": bare("warc-refers-to"), "url": f.get("warc-target-uri"), "digest": f.get("warc-payload-digest"), "block": block,
+                }
+                own = open_.setdefault(row["origin"], [])
+                own.append(row)
+                last = next((s["total"] for s in reversed(own) if s["total"] is not None), None)
+                if not row["number"] or last == sum(len(s["block"]) for s in own) and sorted(s["number"] for s in own) == list(range(1, len(own) + 1)):
+                    del open_[row["origin"]]
+                    if whole:
+                        yield own
+            if not whole:
+                yield from open_.values()
+
+
+def _read_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _SEGMENTS.split(", ")]
+    for own in _files(batches, False):
+        for at in range(0, len(own), 100):
+            yield _batch(names, [tuple(s[n] for n in names) for s in own[at : at + 100]])
+
+
+def _read_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _decoded((own[0]["origin"], *reassemble(own)) for own in _files(batches, True))
 
 
 def _batch(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
@@ -225,38 +241,50 @@ def reassemble(segments: list[dict]) -> tuple[str, str | None, str, bytes | None
     return first["type"], None, first["url"], body, len(body), digest, whole and digest == stated
 
 
-def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
-        return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["name", "record_type", "refers", "url", "payload", "payload_bytes", "payload_digest", "whole"])
+_RECORD = "name string, record_type string, refers string, url string, payload binary, payload_bytes bigint, payload_digest string, whole boolean"
 
-    out, size, held = [], 0, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and held[-1]["origin"] != row["origin"]:
-                out.append((held[0]["origin"], *reassemble(held)))
-                size += out[-1][5]
-                held = []
-                if size > 1 << 20:
-                    yield done(out)
-                    out, size = [], 0
-            held.append(row)
-    if held:
-        out.append((held[0]["origin"], *reassemble(held)))
+
+def _decoded(records_: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Batches of about a megabyte of reassembled records."""
+    kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.bool_()]
+    out: list[tuple] = []
+    size = 0
+    for record in records_:
+        out.append(record)
+        size += 200 + len(record[4] or b"")
+        if size > 1 << 20:
+            yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _RECORD.split(", ")])
+            out, size = [], 0
     if out:
-        yield done(out)
+        yield pa.record_batch([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in _RECORD.split(", ")])
+
+
+def _assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each() -> Iterator[tuple]:
+        held: list[dict] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and held[-1]["origin"] != row["origin"]:
+                    yield (held[0]["origin"], *reassemble(held))
+                    held = []
+                held.append(row)
+        if held:
+            yield (held[0]["origin"], *reassemble(held))
+
+    return _decoded(each())
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """name, record_type, refers, url, payload, payload_bytes, payload_digest (bare base32), whole: a row for each record.
 
-    Segments are dealt by origin and streamed in order, so a task holds one record at a time.
+    Origins whose segments one file holds completely are reassembled where they are read. The segments of the others, which
+    lie in several files, are dealt by origin and streamed in order of their numbers, so a task holds one record at a time.
+    A segment repeated in another file is a record of its own there, not whole.
     """
     tune(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("content")
-    segments = files.mapInArrow(_read, _SEGMENTS)
-    dealt = segments.repartition("origin").sortWithinPartitions("origin", "number")
-    return dealt.mapInArrow(_assemble, "name string, record_type string, refers string, url string, payload binary, payload_bytes bigint, payload_digest string, whole boolean")
+    rest = files.mapInArrow(_read_rest, _SEGMENTS).repartition("origin").sortWithinPartitions("origin", "number")
+    return files.mapInArrow(_read_whole, _RECORD).union(rest.mapInArrow(_assemble, _RECORD))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", **options) -> DataFrame:

@@ -103,6 +103,16 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["record_type"] for r in small} == {"response"}
 
 
+def test_warc_segments_in_several_files(spark, tmp_path):
+    payloads = {f"urn:page:{i}:0": bytes([97 + i]) * (3000 + i) for i in range(5)}
+    parts = [p for name, b in payloads.items() for p in warc.records(name, "u", b, warc.base32_sha1(b), None, 700)]
+    random.Random(2).shuffle(parts)
+    for k in range(3):
+        (tmp_path / f"{k}.warc.gz").write_bytes(gzip.compress(b"".join(p + b"\r\n\r\n" for p in parts[k::3])))
+    got = {r["name"]: r for r in warc.read(spark, str(tmp_path)).collect()}
+    assert {n: bytes(r["payload"]) for n, r in got.items()} == payloads and all(r["whole"] for r in got.values())
+
+
 def test_warc_segments_are_verified():
     parts = warc.records("urn:x", "u", b"payload" * 500, warc.base32_sha1(b"payload" * 500), None, 300)
     rows = []
