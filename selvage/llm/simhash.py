@@ -295,11 +295,13 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return own.join(of, "fp").select("id", "fp", "component_id")
 
 
-# --- wide fingerprints: links by similarity ------------------------------------------------------------------------
+# --- near copies: candidates by minima and wide fingerprints, links by the sets themselves ---------------------------
 
-#: Words of 64 bits of a wide fingerprint; bits of a band and from one band's start to the next (multiples of 4). Of
-#: pairs of 72 of 512 differing bits 98.5 % share a band, of those of 65 99.4 %, of those of 60 or fewer nearly all.
-WIDE, BAND, STRIDE = 8, 16, 12
+#: Words of 64 bits of a wide fingerprint. Minima of the shingle hashes that make a key: two sets of similarity s agree on a
+#: key with s**ROWS. The share of pairs at the required similarity that may have no key in common.
+WIDE, ROWS, LOST = 8, 4, 1e-4
+#: Pairs that read the text of one document in one task.
+READERS = 64
 
 
 def similar_radius(similarity: float, words: int = WIDE) -> int:
@@ -308,17 +310,277 @@ def similar_radius(similarity: float, words: int = WIDE) -> int:
     return round(words * 64 * math.acos(min(1.0, cosine)) / math.pi)
 
 
-def similar_links(prints: DataFrame, radius: int, words: int = WIDE, band: int = BAND, stride: int = STRIDE) -> DataFrame:
-    """Links a, b (binary) among distinct wide fingerprints prints(fp) that share a band and differ in at most `radius` bits."""
-    digits = prints.select("fp", F.hex("fp").alias("digits"))
-    bands = F.array(*[F.xxhash64(F.substring("digits", 1 + at // 4, band // 4), F.lit(at)) for at in range(0, words * 64 - band + 1, stride)])
-    dealt = digits.select(F.explode(bands).alias("key"), "fp").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(_group_links(radius, words), "a binary, b binary").distinct()
+def candidate_radius(similarity: float, words: int = WIDE) -> int:
+    """The mean plus 6.5 deviations: sets of few shingles, whose bits are often ties, have a mean up to 2.3 deviations higher
+    (four shingles of five: 96 bits at a similarity of 0.8)."""
+    mean = similar_radius(similarity, words)
+    return mean + math.ceil(6.5 * math.sqrt(mean * (1 - mean / (words * 64))))
+
+
+def key_count(similarity: float) -> int:
+    """Keys of which pairs of that similarity share one but for a part of LOST."""
+    return 1 if similarity >= 1 else math.ceil(math.log(LOST) / math.log1p(-(similarity**ROWS)))
+
+
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.array(shingle_hashes(text, width), dtype=np.uint64))
+
+
+def minima_keys(hashes: np.ndarray, sizes: np.ndarray, count: int) -> np.ndarray:
+    """`count` keys (rows of int64) of each set; sets[i] are the next sizes[i] hashes. Those of empty sets mean nothing."""
+    full = np.flatnonzero(sizes)
+    out = np.zeros((len(sizes), count), dtype=np.uint64)
+    if not len(full):
+        return out.view(np.int64)
+    first = (np.cumsum(sizes) - sizes)[full]
+    odd = mix(np.arange(1, count * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+    for k in range(count):
+        key = np.full(len(full), k, dtype=np.uint64)
+        for r in range(ROWS):
+            key = mix(key + np.minimum.reduceat(hashes * odd[k * ROWS + r], first) + np.uint64(0x9E3779B97F4A7C15))
+        out[full, k] = key
+    return out.view(np.int64)
+
+
+def _profiles(width: int, count: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows id, text to id, node (a hash of the set), n (its size), fp, keys."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary())
+            sizes = [len(t) if (t := x.as_buffer()) is not None else 0 for x in texts]
+            for a, b in chunks(sizes, CHUNK_BYTES):
+                each = [shingle_set(x, width) for x in texts.slice(a, b - a).to_pylist()]
+                n = np.array([len(h) for h in each], dtype=np.int64)
+                flat = np.concatenate(each)
+                node = np.array([xxhash.xxh64_intdigest(h.tobytes()) for h in each], dtype=np.uint64).view(np.int64)
+                prints = pa.array([p.astype(">u8").tobytes() for p in vote(flat, n, WIDE)], type=pa.binary())
+                at = pa.array(np.arange(len(n) + 1, dtype=np.int32) * count)
+                keys = pa.ListArray.from_arrays(at, pa.array(minima_keys(flat, n, count).ravel()))
+                yield pa.record_batch([batch.column(0).slice(a, b - a), pa.array(node), pa.array(n), prints, keys], names=["id", "node", "n", "fp", "keys"])
+
+    return run
+
+
+def _spanning(a: np.ndarray, b: np.ndarray, parent: list[int]) -> list[int]:
+    """Places of the links a-b (a < b), by a and b, that join what was not joined; parent is brought up to date."""
+    out = []
+    for i in np.lexsort([b, a]).tolist():
+        x, y = int(a[i]), int(b[i])
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        while parent[y] != y:
+            parent[y] = y = parent[parent[y]]
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append(i)
+    return out
+
+
+def _candidates(radius: int, similarity: float, every: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows key, node, n, fp, own (sorted by key and node) to a few pairs of nodes a < b of one key that may be similar: every
+    node that has such a pair is in one that comes out.
+
+    every: to the rows (as a, b: key, node) that have such a pair with a node of a different `own`.
+    """
+
+    def may(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.minimum(n[a], n[b]) / np.maximum(n[a], n[b]) >= similarity
+
+    def large(prints: np.ndarray, n: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        index = GrayIndex(prints)
+        m = len(prints)
+        label, parent = own if every else np.arange(m), list(range(m))
+        at, step, most = 0, 16, max(16, (1 << 19) // (m * prints.shape[1]))
+        a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        while at < m:
+            q, found = index.search(prints[at : at + step], radius, label[at : at + step], label[index.order])
+            q, found = q + at, index.order[found]
+            if every:
+                keep = (q < found) & (label[q] != label[found])
+            else:
+                keep = q != found
+            q, found = q[keep], found[keep]
+            keep = may(n, q, found)
+            a, b = np.minimum(q, found)[keep], np.maximum(q, found)[keep]
+            if not every and len(a):
+                new = _spanning(a, b, parent)
+                a, b = a[new], b[new]
+                label = forest(m, a, b, label)
+            if every:
+                a = b = np.unique(np.r_[a, b])
+            a_all.append(a)
+            b_all.append(b)
+            at, step = at + step, min(most, step * 2)
+        return np.concatenate(a_all), np.concatenate(b_all)
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, node, n, own = (t[c].to_numpy() for c in ("key", "node", "n", "own"))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[first, len(key)])
+        end = np.repeat(first + size, size)
+        fit = np.repeat((size > 1) & (size <= FANOUT), size)
+        prints = np.frombuffer(b"".join(t["fp"].to_pylist()), dtype=">u8").astype(np.uint64).reshape(len(key), -1)
+        a_all, b_all = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for shift in range(1, FANOUT):
+            i = np.flatnonzero(fit[:-shift] & (np.arange(len(key) - shift) + shift < end[:-shift])) if len(key) > shift else np.empty(0, np.int64)
+            i = i[(own[i] != own[i + shift]) & may(n, i, i + shift)]
+            i = i[np.bitwise_count(prints[i] ^ prints[i + shift]).sum(axis=1, dtype=np.int64) <= radius]
+            a_all.append(i)
+            b_all.append(i + shift)
+        a, b = np.concatenate(a_all), np.concatenate(b_all)
+        if not every and len(a):  # the first partner of each row
+            low = np.full(len(key), len(key))
+            np.minimum.at(low, a, b)
+            np.minimum.at(low, b, a)
+            i = np.flatnonzero(low < len(key))
+            a, b = np.minimum(i, low[i]), np.maximum(i, low[i])
+        a_all, b_all = [a], [b]
+        for f, m in zip(first[size > FANOUT].tolist(), size[size > FANOUT].tolist()):
+            x, y = large(prints[f : f + m], n[f : f + m], np.unique(own[f : f + m], return_inverse=True)[1])
+            a_all.append(f + x)
+            b_all.append(f + y)
+        a, b = np.concatenate(a_all), np.concatenate(b_all)
+        if every:
+            i = np.unique(np.r_[a, b])
+            return pa.record_batch([pa.array(key[i]), pa.array(node[i])], names=["a", "b"])
+        a, b = node[a], node[b]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return _whole_keys(links, 1 << 15)
+
+
+def _whole_keys(links: Callable[[pa.Table], pa.RecordBatch], most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by key to the result of links on tables of whole keys; about `most` rows or one key are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.Table] = []
+        held = 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            rest.append(pa.Table.from_batches([batch]))
+            held += len(batch)
+            if held < most or batch.column(0)[0] == batch.column(0)[len(batch) - 1]:
+                continue
+            whole = pa.concat_tables(rest).combine_chunks()
+            end = int(np.searchsorted(whole["key"].to_numpy(), whole["key"][len(whole) - 1].as_py()))
+            yield links(whole.slice(0, end).combine_chunks())
+            rest, held = [whole.slice(end)], len(whole) - end
+        if rest:
+            yield links(pa.concat_tables(rest).combine_chunks())
+
+    return run
+
+
+def _settle(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows key, node, own, text (sorted by key and node) to links of nodes of one key of that similarity, that with `own`
+    join all such nodes."""
+
+    def group(node: np.ndarray, own: np.ndarray, texts: pa.ChunkedArray) -> Iterator[tuple[int, int]]:
+        each = [shingle_set(x.cast(pa.binary()).as_py(), width) for x in texts]
+        size = np.array([len(x) for x in each])
+        start = np.cumsum(size) - size
+        flat = np.concatenate(each)
+        del each
+        label = np.unique(own, return_inverse=True)[1]
+        for q in range(len(node) - 1):
+            j = q + 1 + np.flatnonzero(label[q + 1 :] != label[q])
+            j = j[np.minimum(size[j], size[q]) / np.maximum(size[j], size[q]) >= similarity]
+            if not len(j):
+                continue
+            mine = flat[start[q] : start[q] + size[q]]
+            common = np.empty(len(j), dtype=np.int64)
+            for a, b in chunks(size[j].tolist(), 1 << 16):
+                n = size[j[a:b]]
+                first = np.cumsum(n) - n
+                other = flat[np.arange(n.sum()) + np.repeat(start[j[a:b]] - first, n)]
+                place = np.minimum(np.searchsorted(mine, other), len(mine) - 1)
+                common[a:b] = np.add.reduceat((mine[place] == other).astype(np.int64), first)
+            j = j[common / (size[j] + size[q] - common) >= similarity]
+            for x, k in zip(*(v.tolist() for v in np.unique(label[j], return_index=True))):
+                yield int(node[q]), int(node[j[k]])
+                label[label == x] = label[q]
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, node, own = (t[c].to_numpy() for c in ("key", "node", "own"))
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]).tolist()
+        found = [x for a, b in zip(first, first[1:]) for x in group(node[a:b], own[a:b], t["text"].slice(a, b - a))]
+        return pa.record_batch([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return _whole_keys(links, 1000)
+
+
+def _verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows a, b, text_a, text_b to those a, b whose shingle sets are that similar."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict[str, tuple[int, np.ndarray]] = {}
+
+        def of(side: str, node: int, text: pa.Scalar) -> np.ndarray:
+            if side not in last or last[side][0] != node:
+                last[side] = node, shingle_set(text.cast(pa.binary()).as_py(), width)
+            return last[side][1]
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                one, two = of("a", a, x), of("b", b, y)
+                common = len(np.intersect1d(one, two, assume_unique=True))
+                keep.append(common / (len(one) + len(two) - common) >= similarity)
+            yield pa.record_batch([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of pairs(a, b) whose texts(node, text) have shingle sets of at least that similarity.
+
+    The text of a node of many pairs is dealt to several tasks, READERS pairs each.
+    """
+    for side in ("a", "b"):
+        many = pairs.groupBy(side).agg(F.ceil(F.count("*") / READERS).cast("int").alias("parts")).where("parts > 1").select(F.col(side).alias("m"), "parts")
+        many = F.broadcast(cut(many))
+        dealt = texts.join(many, F.col("node") == F.col("m"), "left").select(F.col("node").alias(f"node_{side}"), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+        asked = pairs.join(many, F.col(side) == F.col("m"), "left").withColumn("deal", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("m", "parts")
+        pairs = asked.join(dealt, (F.col(side) == F.col(f"node_{side}")) & (F.col("deal") == F.col("part"))).drop("deal", "part", f"node_{side}")
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, similarity), "a bigint, b bigint")
+
+
+def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], width: int, similarity: float) -> DataFrame:
+    """Links a, b among distinct sets(node, n, fp, keys) whose components are those of all pairs of that similarity.
+
+    First a few candidates of each key are compared. The nodes of a key that may be similar to one they are not joined with
+    then meet with their texts, and every such pair of them is compared, but for those joined on the way.
+    text_of: nodes to texts(node, text).
+    """
+    radius = candidate_radius(similarity)
+
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        dealt = rows.select(F.explode("keys").alias("key"), "node", "n", "fp", "own").repartition("key").sortWithinPartitions("key", "node")
+        return cut(dealt.mapInArrow(_candidates(radius, similarity, every), "a bigint, b bigint").distinct())
+
+    few = candidates(sets.withColumn("own", F.col("node")), False)
+    release(sets.sparkSession)  # the keys are not needed any more
+    near = cut(few.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    texts = cut(text_of(near))
+    links = cut(verified(few, texts, width, similarity))
+    release(sets.sparkSession)
+    joined = components(links).select(F.col("node").alias("m"), "component")
+    left = cut(sets.join(near, "node").join(joined, F.col("node") == F.col("m"), "left").withColumn("own", F.coalesce("component", "node")).drop("m", "component"))
+    open_ = candidates(left, True).select(F.col("a").alias("key"), F.col("b").alias("node"))
+    met = open_.join(left.select("node", "own"), "node").join(texts, "node").select("key", "node", "own", "text")
+    more = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_settle(width, similarity), "a bigint, b bigint")
+    return cut(links.union(more))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group of documents whose sets of `width`-word shingles have (by their
-    512-bit fingerprints) a similarity of at least `similarity`, directly or over others, the row of the smallest id stays.
+    """docs without near copies: of each group of documents whose sets of `width`-word shingles have a Jaccard similarity of
+    at least `similarity`, directly or over others, the row of the smallest id stays.
+
+    Candidates come from minima of the hashed sets and 512-bit fingerprints (of pairs just at the similarity about LOST are
+    missed); each link is decided on the sets. Repeats of a shingle in a document do not count.
 
     Documents without a word (null, empty, white space) have nothing to compare and all stay, but for repeated rows.
     Of rows that agree in id and text one stays. Rows of a null id count as larger than any id. All columns are kept,
@@ -330,18 +592,22 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = dict(rows.dtypes)["id"]
     tune(docs.sparkSession)
     packed = keyed.select(F.struct("id", "k1", "k2").alias("id"), "text")
-    own = packed.mapInArrow(_fingerprint(width, WIDE), f"id struct<id:{kind},k1:bigint,k2:bigint>, fp binary, n_shingles bigint")
-    own = cut(own.select(F.col("id.id").alias("id"), F.col("id.k1").alias("k1"), F.col("id.k2").alias("k2"), F.when(F.col("n_shingles") > 0, F.col("fp")).alias("fp"), F.xxhash64("fp").alias("node")))
-    words = own.where("fp IS NOT NULL")
-    distinct = words.select("fp").distinct()
-    links = similar_links(distinct, similar_radius(similarity))
-    found = components(links.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b")))
-    release(docs.sparkSession)  # the bands are not needed any more
+    own = packed.mapInArrow(_profiles(width, key_count(similarity)), f"id struct<id:{kind},k1:bigint,k2:bigint>, node bigint, n bigint, fp binary, keys array<bigint>")
+    own = cut(own.select("id.*", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n", "fp", "keys"))
+    words = own.where("node IS NOT NULL")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")
     # exact copies meet here: combined before any shuffle
-    each = words.groupBy("node").agg(first)
+    each = cut(words.groupBy("node").agg(first))
+    sets = cut(words.select("node", "n", "fp", "keys").dropDuplicates(["node"]))
+
+    def text_of(nodes: DataFrame) -> DataFrame:
+        read = each.join(nodes, "node").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
+        return keyed.select("k1", "k2", "text").join(read, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
+
+    found = components(similar_links(sets, text_of, width, similarity))
+    release(docs.sparkSession)
     grouped = each.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("first").alias("first"))
-    kept = grouped.select("first.k1", "first.k2").union(own.where("fp IS NULL").select("k1", "k2")).groupBy("k1", "k2").agg(F.lit(1).alias("one"))
+    kept = grouped.select("first.k1", "first.k2").union(own.where("node IS NULL").select("k1", "k2")).groupBy("k1", "k2").agg(F.lit(1).alias("one"))
     repeated = own.groupBy("k1", "k2").agg(F.count("*").alias("n"))
     kept = kept.join(repeated, ["k1", "k2"])
     stays = keyed.select("k1", "k2", "row").join(kept, ["k1", "k2"])

@@ -89,6 +89,36 @@ def test_drop_similar_by_jaccard(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == expected
 
 
+def jaccard_groups(texts, width=5, least=0.8):
+    """The first of each group of texts, by all pairs of their shingle sets."""
+    sets = [{" ".join(t.split()[i : i + width]) for i in range(max(1, len(t.split()) - width + 1))} for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= least:
+                label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
+    return sorted(set(label))
+
+
+def test_drop_similar_near_the_limit(spark):
+    """Pairs, chains and large families just below and above a similarity of 0.8 against all pairs of sets."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = []
+    for g in range(120):
+        n = rng.choice([4, 5, 9, 40, 104, 204])
+        base = [word() for _ in range(n + 4)]
+        texts.append(" ".join(base))
+        last = base
+        for _ in range(1 if g % 4 else 14):
+            k = max(1, round(n * rng.uniform(0.14, 0.34)) // 2)
+            last = (base if g % 8 else last)[k:] + [word() for _ in range(k * rng.randint(0, 1))]
+            texts.append(" ".join(last if len(last) > 4 else base[1:]))
+    rng.shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == jaccard_groups(texts)
+
+
 def brute(texts, length):
     count = collections.Counter(t[s : s + length] for t in texts for s in range(len(t) - length + 1))
     out = []
