@@ -119,6 +119,21 @@ def test_drop_similar_near_the_limit(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == jaccard_groups(texts)
 
 
+def test_drop_similar_repeated_passages(spark):
+    """A passage that texts repeat counts once: it makes no near copies of clean texts and hides none."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    passage = [word() for _ in range(24)]
+    texts = []
+    for g in range(30):
+        own = [word() for _ in range(64)]
+        texts.append(" ".join(own + passage * rng.randint(5, 10)))
+        if g % 3 == 0:
+            texts.append(" ".join(own + passage * 2))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == jaccard_groups(texts)
+
+
 def brute(texts, length):
     count = collections.Counter(t[s : s + length] for t in texts for s in range(len(t) - length + 1))
     out = []
