@@ -2,7 +2,7 @@
 
 The base finds e-mail addresses, IP addresses, card and telephone numbers by pattern, in time linear in the text. Around
 digits, @ and (at), the text is cut into atoms (runs of letters or digits, white space, single
-signs); segments of at most MOST_ATOMS atoms are scored as a whole by the features of the span and its surroundings, and
+signs); segments of at most MOST_ATOMS atoms, and longer whole runs of letters and digits that look like keys, are scored as a whole by the features of the span and its surroundings, and
 dynamic programming chooses boundaries and types together, or no entity. Its spans are added to the base's.
 
 The field is trained here by maximum likelihood on generated sentences; their number is the parameter `sentences`.
@@ -10,6 +10,7 @@ The field is trained here by maximum likelihood on generated sentences; their nu
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from selvage.llm.common import tune
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: Longest segment.
+#: Longest segment, but for whole runs that look like keys.
 MOST_ATOMS, MOST_CHARS = 24, 96
 #: Characters kept on either side of what starts a window.
 MARGIN = 48
@@ -83,6 +84,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 _TRIGGER = re.compile(r"[0-9@(\[][0-9]*")
 _ATOM = re.compile(r"[^\W\d_]+|[0-9]+|\s+|.", re.DOTALL)
+_ALNUM = re.compile(r"[A-Za-z0-9]+")
 _HEX = re.compile(r"[0-9A-Fa-f]{20,}|[A-Za-z0-9_]*(?=[A-Za-z0-9_]*[0-9])(?=[A-Za-z0-9_]*[A-Za-z])[A-Za-z0-9_]{16,}")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _HIDDEN = re.compile(r"[A-Za-z0-9._%+-]+ ?[\[(]at[\])] ?[A-Za-z0-9-]+(?:(?:\.| ?[\[(]dot[\])] ?)[A-Za-z0-9-]+)+")
@@ -167,8 +169,24 @@ def windows(text: str) -> list[tuple[int, int]]:
 
 
 def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Bounds of the atoms of a window, and segments (first atom, atom after the last) that may be an entity."""
+    """Bounds of the atoms of a window, and segments (first atom, atom after the last) that may be an entity.
+
+    A whole run of letters and digits that looks like a key and is beyond the bounds of a segment is one atom.
+    """
     bounds = [start, *(m.end() for m in _ATOM.finditer(text, start, end))]
+    whole = set()
+    for m in _ALNUM.finditer(text, start, end):
+        a, b = m.span()
+        if b - a <= MOST_ATOMS or a and text[a - 1].isalnum() or b < len(text) and text[b].isalnum():
+            continue
+        i, j = bisect.bisect_left(bounds, a), bisect.bisect_left(bounds, b)
+        if (j - i > MOST_ATOMS or b - a > MOST_CHARS) and _HEX.fullmatch(text, a, b):
+            whole.add((a, b))
+    if whole:
+        inner = np.zeros(end - start + 1, dtype=bool)
+        for a, b in whole:
+            inner[a + 1 - start : b - start] = True
+        bounds = [b for b in bounds if not inner[b - start]]
     segments = []
     n = len(bounds) - 1
     for i in range(n):
@@ -178,9 +196,13 @@ def candidates(text: str, start: int, end: int) -> tuple[list[int], list[tuple[i
         digits = at = False
         for j in range(i + 1, min(n, i + MOST_ATOMS) + 1):
             atom = text[bounds[j - 1] : bounds[j]]
+            if (bounds[i], bounds[j]) in whole:
+                segments.append((i, j))
+                digits = True
+                continue
             if bounds[j] - bounds[i] > MOST_CHARS or "\n" in atom:
                 break
-            digits |= "0" <= atom[0] <= "9"
+            digits |= "0" <= atom[0] <= "9" or (bounds[j - 1], bounds[j]) in whole
             at |= atom == "@" or atom == "at"
             last = atom[-1]
             if not (digits or at) or not last.isalnum() and last not in "])" or bounds[j] < len(text) and text[bounds[j]].isalnum() and last.isalnum():
@@ -293,7 +315,9 @@ def train(sentences: int = 300, seed: int = 5, rounds: int = 40, ridge: float =
         place = {b: i for i, b in enumerate(bounds)}
         gold = {(place.get(a), place.get(b)): k for a, b, k in spans}
         of = {s: c for c, s in enumerate(segments)}
-        if not segments or not all(s in of for s in gold):
+        if not all(s in of for s in gold):
+            raise ValueError(f"an entity is no candidate: {text!r}, {spans}")
+        if not segments:
             continue
         x = np.zeros((len(segments), N_FEATURES))
         for c, (i, j) in enumerate(segments):
