@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: Delete shuffle files at the end of the execution that wrote them.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 NODE_TYPES = ("Artefact", "Attribute", "Cluster", "CanonicalAttribute", "AcordConcept", "Release", "Decision")
 EDGE_TYPES = ("EVIDENCED_BY", "MEMBER_OF", "CANDIDATE_FOR", "ALIGNS_TO", "MAPS_TO", "RELEASED_IN", "DECIDED_BY")
 
@@ -26,10 +29,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder, so that lost executors cost no recomputation; Spark removes the files when
-    nothing refers to them any more (spark.cleaner.referenceTracking.cleanCheckpoints)."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise df in the shared folder, so that lost executors cost no recomputation.
+
+    What its plan has shuffled is deleted as soon as the files are written: nothing reads it any more. The files themselves
+    go when nothing refers to them, if the session sets spark.cleaner.referenceTracking.cleanCheckpoints.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    before = spark.conf.get(CLEAN_UP, None)
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)  # the setting is read where a frame is made
+    finally:
+        spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
