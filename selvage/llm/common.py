@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from selvage.operators.graph import components, cut, shared_folder  # noqa: F401
 
@@ -14,6 +14,8 @@ from selvage.operators.graph import components, cut, shared_folder  # noqa: F401
 BATCH_ROWS = 1000
 #: Operators work on texts in chunks of about so many bytes (a longer text is a chunk of its own).
 CHUNK_BYTES = 1 << 20
+#: Rows of one value that a join leaves in one task, and values with more that it broadcasts at most.
+SHARE, HOTTEST = 1000, 100_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -25,13 +27,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's context cleaner drop the shuffle files of jobs that nothing refers to any more.
+def join_spread(rows: DataFrame, groups: DataFrame, by: list[str], size: str, tie: list[str]) -> DataFrame:
+    """rows joined with groups on `by`. groups: materialised, one row for each value of `by`, with `size`, how many rows have it.
 
-    It learns of them from the driver's garbage collector, which a job with a small driver may not run for hours.
+    The rows of a value that has over SHARE of them are dealt, by a hash of `tie`, to several tasks. Such values are
+    broadcast: they are those over one HOTTEST-th of all rows where there are more rows than SHARE * HOTTEST, so never
+    more than HOTTEST of them.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    total, top = groups.agg(F.sum(size), F.max(size)).first()
+    share = max(SHARE, (total or 0) // HOTTEST)
+    if (top or 0) <= share:
+        return rows.join(groups, by)
+    hot = F.broadcast(cut(groups.where(F.col(size) > share).select(*by, F.ceil(F.col(size) / share).cast("int").alias("parts"))))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = rows.join(hot, by, "left").withColumn("part", F.pmod(F.xxhash64(*tie), parts).cast("int")).drop("parts")
+    told = groups.join(hot, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(told, [*by, "part"]).drop("part")
 
 
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -3,17 +3,23 @@
 Every string of LENGTH bytes picks an anchor: the start of its CORE-byte substring of least hash. The choice depends on
 the string alone, so equal strings have equal cores at equal places, and only suffixes that start at anchors need be
 sorted. The suffixes of one core, wherever they are in the corpus, form a group: an interval of the corpus' suffix
-array. Copies of the same surroundings are combined before any shuffle; a group's distinct surroundings (up to LENGTH
-bytes to the right, LENGTH - CORE to the left) are sorted, a stack scan over their common prefixes builds the interval
-tree, and for each interval the left extensions are compared: an interval whose members extend differently to the left
-is a maximal repeat, and a member is repeated as far as its common prefix and its longest common left extension with
-another member reach, if together they have LENGTH bytes. All occurrences come out, not just neighbours in the order.
-
-Groups of more than MOST distinct surroundings, if any, are settled exactly by counting the hashes of their strings.
+array. Only cores that occur twice go on, and copies of the same surroundings (LENGTH - CORE bytes to either side) are
+combined. A group's distinct surroundings are sorted by what is right of the core, a stack scan over their common
+prefixes builds the interval tree, and for each interval the left extensions are compared: an interval whose members
+extend differently to the left is a maximal repeat, and a member is repeated as far as its common prefix and its longest
+common left extension with another member reach, if together with the core they have LENGTH bytes. All occurrences come
+out, not just neighbours in the order.
+
+A group of more than MOST distinct surroundings is cut into intervals of deeper common prefixes and left extensions
+(PIECES of them), each a group of its own with a longer core and narrower surroundings, and so on until they fit.
+
+Hashes of 64 bits only choose anchors and filter. Whatever decides that bytes go is a comparison of the bytes or of
+their 128-bit BLAKE2b digests.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,12 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window as W
 
-from selvage.llm.common import BYTE_VALUES, CHUNK_BYTES, RangeHash, chunks, cut, mix, release, tune
+from selvage.llm.common import BYTE_VALUES, CHUNK_BYTES, RangeHash, chunks, cut, join_spread, mix, tune
 
-#: Bytes of a repeat, of the core that a group shares, and distinct surroundings of a group that one task takes.
-LENGTH, CORE, MOST = 400, 100, 20_000
+#: Bytes of a repeat, of the core that a group shares, distinct surroundings of a group that one task compares, and
+#: parts of a group that has more.
+LENGTH, CORE, MOST, PIECES = 400, 250, 4096, 8
 
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -43,20 +49,19 @@ def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
 
 
 class Anchors:
-    """Anchors of a chunk of documents: place, document, hash of the core, bytes to the left and right, hash of both."""
+    """Anchors of a chunk of documents: place in the chunk, document, 64-bit hash of the core."""
 
     def __init__(self, texts: list[bytes], length: int = LENGTH, core: int = CORE) -> None:
         sizes = np.array([len(t) for t in texts], dtype=np.int64)
         self.starts = np.r_[0, np.cumsum(sizes)]
-        raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.whole = b"".join(texts)
+        raw = np.frombuffer(self.whole, dtype=np.uint8)
         self.place = self.doc = np.zeros(0, dtype=np.int64)
-        self.key = self.context = np.zeros(0, dtype=np.uint64)
-        self.left = self.right = self.place
+        self.key = np.zeros(0, dtype=np.int64)
         if len(raw) < length or sizes.max() < length:
             return
-        self.hash = RangeHash(BYTE_VALUES[raw])
         at = np.arange(len(raw) - core + 1)
-        h = self.hash(at, at + core)
+        h = RangeHash(BYTE_VALUES[raw])(at, at + core)
         width = length - core + 1
         least = _slide(h, width, np.minimum)  # for each string of `length` bytes, by its start
         end = np.repeat(self.starts[1:], sizes)
@@ -66,11 +71,17 @@ class Anchors:
         padded = np.concatenate([np.zeros(width - 1, dtype=np.uint64), seen, np.zeros(width - 1, dtype=np.uint64)])
         self.place = np.flatnonzero(_slide(padded, width, np.maximum)[: len(h)] == h)
         self.doc = np.searchsorted(self.starts, self.place, side="right") - 1
-        lo = np.maximum(self.starts[self.doc], self.place - (length - core))
-        hi = np.minimum(self.starts[self.doc + 1], self.place + length)
-        self.left, self.right = self.place - lo, hi - self.place
-        self.key = mix(h[self.place] ^ np.uint64(core))
-        self.context = mix(self.hash(lo, hi) + self.left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        self.key = mix(h[self.place] ^ np.uint64(core)).view(np.int64)
+
+
+def _digest(x: bytes | memoryview, left: int = 0) -> bytes:
+    """128 bits that stand for a string and the place of the anchor in it."""
+    return hashlib.blake2b(x, digest_size=16, salt=left.to_bytes(4, "little")).digest()
+
+
+def _halves(digests: list[bytes]) -> list[pa.Array]:
+    pairs = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)]
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,28 +97,34 @@ def _binary(column: pa.Array) -> list[bytes]:
     return [expand(x) for x in column.to_pylist()]
 
 
-def _anchors(length: int, core: int, combine: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """d1, d2, z to key, context, d1, d2, pos; combined: a row for each surroundings in a chunk of text, with copies, left, right."""
+def _keys(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """z to key, n: how often a core's hash is an anchor in a batch of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = _binary(batch.column(0))
+            each = [Anchors(texts[a:b], length, core).key for a, b in chunks([len(t) for t in texts], CHUNK_BYTES)]
+            key, n = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_counts=True)
+            yield pa.record_batch([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    return run
+
+
+def _anchors(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """d1, d2, z to key, c1, c2 (digest of the surroundings), d1, d2, pos."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = _binary(batch.column(2))
             for a, b in chunks([len(t) for t in texts], CHUNK_BYTES):
                 found = Anchors(texts[a:b], length, core)
-                if not len(found.place):
-                    continue
-                pick, copies = np.arange(len(found.place)), None
-                if combine:
-                    order = np.lexsort((found.context, found.key))
-                    k, c = found.key[order], found.context[order]
-                    first = np.flatnonzero(np.r_[True, (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-                    pick, copies = order[first], np.diff(np.r_[first, len(order)])
-                rows = pa.array(found.doc[pick] + a)
-                pos = (found.place - found.starts[found.doc])[pick]
-                columns = {"key": pa.array(found.key[pick].view(np.int64)), "context": pa.array(found.context[pick].view(np.int64)), "d1": batch.column(0).take(rows), "d2": batch.column(1).take(rows), "pos": pa.array(pos.astype(np.int32))}
-                if combine:
-                    columns |= {"copies": pa.array(copies), "left": pa.array(found.left[pick].astype(np.int32)), "right": pa.array(found.right[pick].astype(np.int32))}
-                yield pa.record_batch(list(columns.values()), names=list(columns))
+                lo = np.maximum(found.starts[found.doc], found.place - (length - core))
+                hi = np.minimum(found.starts[found.doc + 1], found.place + length)
+                view = memoryview(found.whole)
+                around = _halves([_digest(view[x:y], left) for x, y, left in zip(lo.tolist(), hi.tolist(), (found.place - lo).tolist())])
+                rows = pa.array(found.doc + a)
+                pos = pa.array((found.place - found.starts[found.doc]).astype(np.int32))
+                yield pa.record_batch([pa.array(found.key), *around, batch.column(0).take(rows), batch.column(1).take(rows), pos], names=["key", "c1", "c2", "d1", "d2", "pos"])
 
     return run
 
@@ -117,7 +134,7 @@ def _anchors(length: int, core: int, combine: bool) -> Callable[[Iterator[pa.Rec
 
 def _matrix(strings: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(s) for s in strings], dtype=np.int64)
-    out = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), dtype=np.uint8).reshape(-1, width)
+    out = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), dtype=np.uint8).reshape(len(strings), width)
     return out, size
 
 
@@ -161,138 +178,185 @@ class RangeMin:
         return out
 
 
-def reaches(lefts: list[bytes], rights: list[bytes], copies: np.ndarray, length: int = LENGTH, core: int = CORE) -> tuple[np.ndarray, np.ndarray]:
-    """How far to the left and right of the anchor each of a group's distinct surroundings is repeated (0, 0: not at all).
+def reaches(lefts: list[bytes], rights: list[bytes], copies: np.ndarray, slack: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far beyond the core, to the left and right, each of a group's distinct surroundings is repeated (-1: not at all).
 
-    lefts: the bytes before the anchor, reversed; copies: how often the surroundings occur.
+    lefts: the bytes before the core, reversed; rights: those behind it; copies: how often the surroundings occur;
+    slack: bytes that a repeat has beyond the core.
     """
     m = len(rights)
-    lo, hi = np.zeros(m, dtype=np.int64), np.zeros(m, dtype=np.int64)
+    lo, hi = np.full(m, -1, dtype=np.int64), np.full(m, -1, dtype=np.int64)
     left_size, right_size = (np.array([len(s) for s in x], dtype=np.int64) for x in (lefts, rights))
-    many = copies > 1
+    many = (copies > 1) & (left_size + right_size >= slack)
     lo[many], hi[many] = left_size[many], right_size[many]
-    order, lcp = _ordered(rights, length)
-    left_order, left_lcp = _ordered(lefts, length - core)
+    order, lcp = _ordered(rights, slack)
+    left_order, left_lcp = _ordered(lefts, slack)
     rank = np.empty(m, dtype=np.int64)
     rank[left_order] = np.arange(m)
     least = RangeMin(left_lcp)
     for depth, first, last in intervals(lcp):
-        if depth < core or first == last:
+        if first == last:
             continue
         by_left = np.sort(rank[order[first : last + 1]])
         common = least(by_left[:-1] + 1, by_left[1:])
         # left-extension diversity: how far each member extends with the member most like it
-        extent = np.maximum(np.r_[0, common], np.r_[common, 0])
-        fits = extent + depth >= length
+        extent = np.maximum(np.r_[-1, common], np.r_[common, -1])
+        fits = extent + depth >= slack
         member = left_order[by_left[fits]]
         lo[member] = np.maximum(lo[member], extent[fits])
         hi[member] = np.maximum(hi[member], depth)
     return lo, hi
 
 
-def _groups(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows key, context, copies, left, bytes (sorted by key and context) to key, context, lo, hi for what is repeated."""
+_MEMBERS = "g1 bigint, g2 bigint, c1 bigint, c2 bigint, copies bigint, m bigint, left int, bytes binary"
+
 
-    def solve(key: np.ndarray, rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        # a repeated row of docs gives its surroundings again
-        context = rows["context"].to_numpy()
-        new = np.r_[True, (key[1:] != key[:-1]) | (context[1:] != context[:-1])]
-        key, rows = key[new], rows.filter(pa.array(new))
-        context, copies, left = (rows[c].to_numpy() for c in ("context", "copies", "left"))
+def _groups(slack: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _MEMBERS (sorted by g1, g2) to g1, g2, c1, c2, lo, hi for what is repeated."""
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        g1, g2, copies, left = (rows[c].to_numpy() for c in ("g1", "g2", "copies", "left"))
         text = rows["bytes"].to_pylist()
         lefts = [t[:n][::-1] for t, n in zip(text, left)]
         rights = [t[n:] for t, n in zip(text, left)]
-        lo, hi = np.zeros(len(key), dtype=np.int64), np.zeros(len(key), dtype=np.int64)
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[first, len(key)])
+        lo, hi = np.full(len(g1), -1, dtype=np.int64), np.full(len(g1), -1, dtype=np.int64)
+        first = np.flatnonzero(np.r_[True, (g1[1:] != g1[:-1]) | (g2[1:] != g2[:-1])])
+        size = np.diff(np.r_[first, len(g1)])
         twos = first[size == 2]
         for at in range(0, len(twos), 2000):  # trees of one interval, side by side
             a = twos[at : at + 2000]
             far = []
-            for strings, width in ((rights, length), (lefts, length - core)):
-                x, n = _matrix([strings[i] for i in a], width)
-                y, k = _matrix([strings[i + 1] for i in a], width)
+            for strings in (rights, lefts):
+                x, n = _matrix([strings[i] for i in a], slack)
+                y, k = _matrix([strings[i + 1] for i in a], slack)
                 differ = x != y
-                far.append(np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), width), np.minimum(n, k)))
-            right, before = far
-            fits = right + before >= length
-            right, before = np.where(fits & (right >= core), right, 0), np.where(fits & (right >= core), before, 0)
+                far.append(np.minimum(np.where(differ.any(axis=1), differ.argmax(axis=1), slack), np.minimum(n, k)))
+            fits = far[0] + far[1] >= slack
             for shift in (0, 1):
-                many = copies[a + shift] > 1
-                lo[a + shift] = np.where(many, [len(lefts[i]) for i in a + shift], before)
-                hi[a + shift] = np.where(many, [len(rights[i]) for i in a + shift], right)
+                all_left, all_right = (np.array([len(strings[i]) for i in a + shift]) for strings in (lefts, rights))
+                many = (copies[a + shift] > 1) & (all_left + all_right >= slack)
+                lo[a + shift] = np.where(many, all_left, np.where(fits, far[1], -1))
+                hi[a + shift] = np.where(many, all_right, np.where(fits, far[0], -1))
         for f, n in zip(first[size != 2].tolist(), size[size != 2].tolist()):
-            lo[f : f + n], hi[f : f + n] = reaches(lefts[f : f + n], rights[f : f + n], copies[f : f + n], length, core)
-        hit = np.flatnonzero(hi)
-        yield pa.record_batch([pa.array(key[hit]), pa.array(context[hit]), pa.array(lo[hit].astype(np.int32)), pa.array(hi[hit].astype(np.int32))], names=["key", "context", "lo", "hi"])
+            lo[f : f + n], hi[f : f + n] = reaches(lefts[f : f + n], rights[f : f + n], copies[f : f + n], slack)
+        hit = pa.array(np.flatnonzero(hi >= 0))
+        whole = rows.take(hit).combine_chunks().select(["g1", "g2", "c1", "c2"])
+        ends = [pa.array(x.astype(np.int32)).take(hit) for x in (lo, hi)]
+        return pa.record_batch([*(c.combine_chunks() for c in whole.columns), *ends], names=["g1", "g2", "c1", "c2", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         for batch in batches:
-            keys = batch.column("key").to_numpy()
-            if not len(keys):
+            if not len(batch):
+                continue
+            held.append(batch)
+            last = batch.column(0)[len(batch) - 1], batch.column(1)[len(batch) - 1]
+            if (batch.column(0)[0], batch.column(1)[0]) == last and len(held) > 1 and (held[0].column(0)[0], held[0].column(1)[0]) == last:
                 continue
-            start = int(np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])[-1])
-            if held and (start or keys[0] != held[-1].column("key")[0].as_py()):
-                # everything before the last key of this batch is complete
-                whole = pa.Table.from_batches([*held, batch.slice(0, start)] if keys[0] == held[-1].column("key")[0].as_py() or start else held)
-                yield from solve(whole["key"].to_numpy(), whole)
-                held = [batch.slice(start)]
-            elif start:
-                whole = pa.Table.from_batches([batch.slice(0, start)])
-                yield from solve(whole["key"].to_numpy(), whole)
-                held = [batch.slice(start)]
-            else:
-                held.append(batch)
-        if held:
             whole = pa.Table.from_batches(held)
-            yield from solve(whole["key"].to_numpy(), whole)
+            g1, g2 = whole["g1"].to_numpy(), whole["g2"].to_numpy()
+            end = len(g1) - int(np.argmax(np.r_[((g1 != last[0].as_py()) | (g2 != last[1].as_py()))[::-1], True]))
+            if end:  # all groups but the last one are complete
+                yield solve(whole.slice(0, end))
+            held = whole.slice(end).to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
 
 def _cut_out(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """z, at (list of key, context, copies, pos, left, right) to key, context, copies, left, bytes."""
+    """z, at (list of c1, c2, copies, m, pos) to _MEMBERS: the group is the digest of the core, bytes what surrounds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = length - core
         for batch in batches:
-            texts = _binary(batch.column(0))
-            at = batch.column(1)
             # rows of docs that are repeated come one after the other
+            at = batch.column(1)
             new = [i for i in range(len(at)) if not i or at[i] != at[i - 1]]
-            texts, at = [texts[i] for i in new], at.take(pa.array(new, pa.int64()))
+            texts, at = _binary(batch.column(0).take(pa.array(new, pa.int64()))), at.take(pa.array(new, pa.int64()))
             flat, owner = at.flatten(), np.repeat(np.arange(len(at)), [len(x) for x in at])
-            for lo in range(0, len(flat), 2000):
-                part = flat.slice(lo, 2000)
-                pos, left, right = (part.field(c).to_numpy() for c in ("pos", "left", "right"))
-                out = [texts[o][p - x : p + y] for o, p, x, y in zip(owner[lo : lo + 2000].tolist(), pos.tolist(), left.tolist(), right.tolist())]
-                yield pa.record_batch([part.field("key"), part.field("context"), part.field("copies"), part.field("left"), pa.array(out, pa.binary())], names=["key", "context", "copies", "left", "bytes"])
+            for a in range(0, len(flat), 2000):
+                part = flat.slice(a, 2000)
+                pos = part.field("pos").to_pylist()
+                of = owner[a : a + 2000].tolist()
+                group = _halves([_digest(texts[o][p : p + core]) for o, p in zip(of, pos)])
+                left = pa.array([min(p, side) for p in pos], pa.int32())
+                around = [texts[o][max(0, p - side) : p] + texts[o][p + core : p + length] for o, p in zip(of, pos)]
+                yield pa.record_batch([*group, *(part.field(c) for c in ("c1", "c2", "copies", "m")), left, pa.array(around, pa.binary())], names=["g1", "g2", "c1", "c2", "copies", "m", "left", "bytes"])
 
     return run
 
 
-def _strings(length: int, core: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """key, context, copies, left, bytes to key, context, copies, back, h: each string of `length` bytes by how far it starts before the anchor."""
+def _narrow(slack: int, ranges: list[tuple[int, int]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of _MEMBERS to p1, p2, q1, q2 (their group and surroundings) and, for each range (a, b) of left extensions, a
+    member of the group of those that agree in what every repeat of that range covers; its surroundings are what some cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                raw = np.frombuffer(row["bytes"], dtype=np.uint8)
-                start = np.arange(max(0, row["left"] - (length - core)), min(row["left"], len(raw) - length) + 1)
-                h = RangeHash(BYTE_VALUES[raw])(start, start + length)
-                n = len(start)
-                yield pa.record_batch([pa.array([row["key"]] * n, pa.int64()), pa.array([row["context"]] * n, pa.int64()), pa.array([row["copies"]] * n, pa.int64()), pa.array((row["left"] - start).astype(np.int32)), pa.array(h.view(np.int64))], names=["key", "context", "copies", "back", "h"])
+            out = []
+            for i, row in enumerate(batch.to_pylist()):
+                left, right = row["bytes"][: row["left"]], row["bytes"][row["left"] :]
+                for k, (a, b) in enumerate(ranges):
+                    if len(left) < a or len(right) < slack - b:
+                        continue
+                    here, there = left[max(0, len(left) - b) :], right[: slack - a]
+                    before, behind = here[: len(here) - a], there[slack - b :]
+                    shared = here[len(here) - a :] + there[: slack - b]
+                    origin = b"%d %d %d " % (k, row["g1"], row["g2"])
+                    out.append((i, _digest(origin + shared), _digest(origin + here + there, len(here)), a, slack - b, row["copies"], len(before), before + behind))
+            for at in range(0, len(out), 2000):
+                part = out[at : at + 2000]
+                of = pa.array([r[0] for r in part], pa.int64())
+                owner = [batch.column(c).take(of) for c in ("g1", "g2", "c1", "c2")]
+                numbers = [pa.array([r[k] for r in part], kind) for k, kind in ((3, pa.int32()), (4, pa.int32()), (5, pa.int64()), (6, pa.int32()))]
+                columns = [*owner, *_halves([r[1] for r in part]), *_halves([r[2] for r in part]), *numbers, pa.array([r[7] for r in part], pa.binary())]
+                yield pa.record_batch(columns, names=["p1", "p2", "q1", "q2", "g1", "g2", "c1", "c2", "a", "b", "copies", "left", "bytes"])
 
     return run
 
 
+_PARTS = "p1 bigint, p2 bigint, q1 bigint, q2 bigint, g1 bigint, g2 bigint, c1 bigint, c2 bigint, a int, b int, copies bigint, left int, bytes binary"
+
+
+def sized(each: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
+    """each with m, the rows that share its values of `by`; the rows of one value are dealt over several tasks."""
+    return join_spread(each, cut(each.groupBy(*by).agg(F.count("*").alias("m"))), by, "m", tie)
+
+
+def settle(each: DataFrame, surroundings: Callable[[DataFrame], DataFrame], slack: int, most: int, pieces: int = PIECES) -> DataFrame:
+    """g1, g2, c1, c2, lo, hi: how far beyond the core what is repeated of `each` is so.
+
+    each: a row, with m, for each member; m is at least the size of its group. surroundings: those rows to _MEMBERS.
+    """
+    if slack == 0:  # the cores are the repeats
+        return each.where("copies > 1").select("g1", "g2", "c1", "c2", F.lit(0).alias("lo"), F.lit(0).alias("hi"))
+    fit = surroundings(each.where(F.col("m") <= most)).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
+    done = fit.mapInArrow(_groups(slack), "g1 bigint, g2 bigint, c1 bigint, c2 bigint, lo int, hi int")
+    large = each.where(F.col("m") > most)
+    if large.isEmpty():
+        return done
+    # ranges of left extensions, all of one width; the last two may overlap
+    values = -(-(slack + 1) // pieces)
+    ranges = [(a, a + values - 1) for a in (min(k * values, slack + 1 - values) for k in range(-(-(slack + 1) // values)))]
+    parts = cut(surroundings(large).mapInArrow(_narrow(slack, ranges), _PARTS))
+    narrow = parts.groupBy("g1", "g2", "c1", "c2").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.min("left").alias("left"), F.min("bytes").alias("bytes"))
+    narrow = cut(sized(cut(narrow), ["g1", "g2"], ["c1", "c2"]).where("m > 1 OR copies > 1"))
+    names = [x.split()[0] for x in _MEMBERS.split(", ")]
+    found = settle(narrow, lambda rows: rows.select(names), values - 1, most, pieces)
+    found = cut(found.join(narrow.select("g1", "g2", "c1", "c2", "n"), ["g1", "g2", "c1", "c2"]))
+    back = join_spread(parts.drop("bytes"), found, ["g1", "g2", "c1", "c2"], "n", ["q1", "q2"])
+    back = back.groupBy(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("q1").alias("c1"), F.col("q2").alias("c2")).agg(F.max(F.col("lo") + F.col("a")).alias("lo"), F.max(F.col("hi") + F.col("b")).alias("hi"))
+    return done.union(back)
+
+
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """id, z, ranges to id, n_bytes, n_removed, n_spans, kept."""
     for batch in batches:
         out = []
         for text, ranges in zip(_binary(batch.column(1)), batch.column(2).to_pylist()):
             merged: list[list[int]] = []
-            for r in sorted((x["a"], x["b"]) for x in ranges or ()):
+            for r in sorted((max(0, x["a"]), min(len(text), x["b"])) for x in ranges or ()):
                 if merged and r[0] <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], r[1])
                 else:
@@ -307,38 +371,30 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([batch.column(0).slice(lo, 250), *(pa.array([r[k] for r in part], pa.int64()) for k in range(3)), pa.array([r[3] for r in part], pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-_SURROUNDINGS = "key bigint, context bigint, copies bigint, left int, bytes binary"
-
-
 def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, most: int = MOST) -> DataFrame:
-    """d1, d2, ranges: byte ranges (a, b), perhaps overlapping, of docs(d1, d2, z: compressed text) that strings repeated anywhere cover."""
-    found = docs.mapInArrow(_anchors(length, core, True), "key bigint, context bigint, d1 bigint, d2 bigint, pos int, copies bigint, left int, right int")
-    # one shuffle, by core: copies of surroundings meet in it, and the members of each group are counted
-    each = found.repartition("key").groupBy("key", "context").agg(F.sum("copies").alias("copies"), F.min(F.struct("d1", "d2", "pos", "left", "right")).alias("at"))
-    group = W.partitionBy("key")
-    shared = each.withColumn("m", F.count("*").over(group)).withColumn("n", F.sum("copies").over(group)).where("n > 1")
-    shared = cut(shared.select("key", "context", "copies", "m", "at.*"))
-    release(docs.sparkSession)  # what a step has shuffled goes before the next one shuffles as much
-    same = shared.where("m = 1").select("key", "context", F.col("left").alias("lo"), F.col("right").alias("hi"))
+    """d1, d2, ranges: byte ranges (a, b), perhaps overlapping or past the ends, of docs(d1, d2, z: compressed text) that
+    strings repeated anywhere cover."""
+    slack = length - core
+    keys = docs.select("z").mapInArrow(_keys(length, core), "key bigint, n bigint")
+    often = cut(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    spots = docs.select("d1", "d2", "z").mapInArrow(_anchors(length, core), "key bigint, c1 bigint, c2 bigint, d1 bigint, d2 bigint, pos int")
+    met = cut(join_spread(spots, often, ["key"], "n", ["d1", "pos"]).drop("n"))
+    # copies of the same surroundings are one member, combined before the shuffle
+    each = cut(met.groupBy("key", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d1", "d2", "pos")).alias("at")))
+    each = cut(sized(each, ["key"], ["c1", "c2"]).where("m > 1 OR copies > 1"))
 
     def surroundings(rows: DataFrame) -> DataFrame:
-        by_doc = rows.groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "context", "copies", "pos", "left", "right")).alias("at"))
-        return docs.join(by_doc, ["d1", "d2"]).select("z", "at").mapInArrow(_cut_out(length, core), _SURROUNDINGS)
-
-    dealt = surroundings(shared.where(F.col("m").between(2, most))).repartition("key").sortWithinPartitions("key", "context")
-    reach = same.union(dealt.mapInArrow(_groups(length, core), "key bigint, context bigint, lo int, hi int"))
-    large = shared.where(F.col("m") > most)
-    if not large.isEmpty():
-        strings = surroundings(large).dropDuplicates(["key", "context"]).mapInArrow(_strings(length, core), "key bigint, context bigint, copies bigint, back int, h bigint")
-        strings = cut(strings)
-        often = strings.groupBy("key", "back", "h").agg(F.sum("copies").alias("n")).where("n > 1").select("key", "back", "h")
-        hit = strings.join(often, ["key", "back", "h"]).groupBy("key", "context").agg(F.max("back").alias("lo"), (F.lit(length) - F.min("back")).alias("hi"))
-        reach = reach.union(hit.select("key", "context", "lo", "hi"))
-    reach = cut(reach)
-    release(docs.sparkSession)
-    places = docs.mapInArrow(_anchors(length, core, False), "key bigint, context bigint, d1 bigint, d2 bigint, pos int")
-    covered = places.join(reach, ["key", "context"]).select("d1", "d2", F.struct((F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") + F.col("hi")).alias("b")).alias("r"))
-    return covered.groupBy("d1", "d2").agg(F.collect_set("r").alias("ranges"))
+        by_doc = rows.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("c1", "c2", "copies", "m", "at.pos")).alias("at"))
+        return docs.join(by_doc, ["d1", "d2"]).select("z", "at").mapInArrow(_cut_out(length, core), _MEMBERS)
+
+    # the groups proper are those of the core's digest; a key may hold several of them by a collision
+    members = each.where("m > 1").withColumns({"g1": F.lit(None).cast("bigint"), "g2": F.lit(None).cast("bigint")})
+    reach = settle(members, surroundings, slack, most).select("c1", "c2", "lo", "hi")
+    reach = reach.join(each.select("c1", "c2", F.col("copies").alias("n")), ["c1", "c2"])
+    same = each.where("m = 1").select("c1", "c2", F.lit(slack).alias("lo"), F.lit(slack).alias("hi"), F.col("copies").alias("n"))
+    covered = join_spread(met.drop("key"), cut(reach.union(same)), ["c1", "c2"], "n", ["d1", "pos"])
+    span = F.struct((F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") + core + F.col("hi")).alias("b"))
+    return covered.groupBy("d1", "d2").agg(F.collect_set(span).alias("ranges"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, most: int = MOST) -> DataFrame:
@@ -355,9 +411,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = T.StructType([rows.schema["id"]]).add("d1", "long").add("d2", "long").add("z", "binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(rows.select("id", "d1", "d2", "text").mapInArrow(_pack, kinds).repartition(parts, "d1", "d2"))
-    release(docs.sparkSession)
     ranges = cut(repeated_ranges(rows.select("d1", "d2", "z"), length, core, most))
-    release(docs.sparkSession)
     done = rows.join(ranges, ["d1", "d2"], "left").select("id", "z", "ranges")
     schema = T.StructType([rows.schema["id"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return done.mapInArrow(_remove, schema)

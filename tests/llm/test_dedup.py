@@ -161,6 +161,32 @@ def test_repeats_against_brute_force(spark, most):
         assert (got[i]["n_removed"], bytes(got[i]["kept"])) == (n, kept), i
 
 
+def test_repeats_of_one_core_in_many_surroundings(spark):
+    """Thousands of surroundings of one passage: groups are cut into deeper intervals again and again."""
+    rng = random.Random(11)
+    letters = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passage = letters(36)
+    texts = [letters(rng.randint(0, 12)) + passage[rng.randint(0, 4) : rng.randint(30, 36)] + letters(rng.randint(0, 12)) for _ in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    got = {r["id"]: r for r in suffix_dedup.remove_repeats(df, length=40, core=20, most=16).collect()}
+    for i, (n, kept) in enumerate(brute([t.encode() for t in texts], 40)):
+        assert (got[i]["n_removed"], bytes(got[i]["kept"])) == (n, kept), i
+
+
+def test_strings_that_only_hash_alike_stay(spark):
+    """Thue-Morse strings and their complements collide in polynomial hashes modulo a power of two, whatever the base."""
+    bits = [bin(i).count("1") & 1 for i in range(256)]
+    block, other = ("".join("u'"[b ^ x] for b in bits) for x in (0, 1))
+    rng = random.Random(2)
+    texts = []
+    for _ in range(50):
+        middle = "".join(rng.choice("abcdefgh") for _ in range(128))
+        texts += [block + middle + other, other + middle + block]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = [n for n, _ in brute([t.encode() for t in texts], 400)]
+    assert [r["n_removed"] for r in suffix_dedup.remove_repeats(df).orderBy("id").collect()] == want == [0] * 100
+
+
 def test_interval_tree_is_all_intervals():
     lcp = np.array([0, 3, 3, 1, 2, 0, 4])
     assert sorted(suffix_dedup.intervals(lcp)) == sorted([(3, 0, 2), (2, 3, 4), (1, 0, 4), (4, 5, 6), (0, 0, 6)])
