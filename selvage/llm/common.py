@@ -16,6 +16,8 @@ BATCH_ROWS = 1000
 CHUNK_BYTES = 1 << 20
 #: Rows of one value that a join leaves in one task, and values with more that it broadcasts at most.
 SHARE, HOTTEST = 1000, 100_000
+#: Rows of a checkpointed partition where their number is known.
+CUT_ROWS = 50_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -27,21 +29,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_spread(rows: DataFrame, groups: DataFrame, by: list[str], size: str, tie: list[str]) -> DataFrame:
-    """rows joined with groups on `by`. groups: materialised, one row for each value of `by`, with `size`, how many rows have it.
+def cut_rows(df: DataFrame, n: int) -> DataFrame:
+    """cut() of a frame of at most n rows, in no more partitions than have CUT_ROWS of them.
+
+    Spark joins small partitions itself where spark.sql.adaptive.coalescePartitions.enabled is on; here it is known
+    beforehand that they are small, and every partition of a checkpoint is a file of its own.
+    """
+    parts = max(1, -(-n // CUT_ROWS))
+    return cut(df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df)
+
+
+def join_spread(rows: DataFrame, told: DataFrame, by: list[str], tie: list[str], groups: DataFrame | None = None, size: str = "n") -> DataFrame:
+    """rows joined with told on `by`. groups (or told itself): cheap to read, one row for each value of `by`, with `size`,
+    how many of the rows have it.
 
     The rows of a value that has over SHARE of them are dealt, by a hash of `tie`, to several tasks. Such values are
     broadcast: they are those over one HOTTEST-th of all rows where there are more rows than SHARE * HOTTEST, so never
     more than HOTTEST of them.
     """
+    groups = told if groups is None else groups
     total, top = groups.agg(F.sum(size), F.max(size)).first()
     share = max(SHARE, (total or 0) // HOTTEST)
     if (top or 0) <= share:
-        return rows.join(groups, by)
-    hot = F.broadcast(cut(groups.where(F.col(size) > share).select(*by, F.ceil(F.col(size) / share).cast("int").alias("parts"))))
+        return rows.join(told, by)
+    hot = F.broadcast(groups.where(F.col(size) > share).select(*by, F.ceil(F.col(size) / share).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     dealt = rows.join(hot, by, "left").withColumn("part", F.pmod(F.xxhash64(*tie), parts).cast("int")).drop("parts")
-    told = groups.join(hot, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    told = told.join(hot, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     return dealt.join(told, [*by, "part"]).drop("part")
 
 

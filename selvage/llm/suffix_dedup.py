@@ -25,15 +25,18 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from selvage.llm.common import BYTE_VALUES, CHUNK_BYTES, RangeHash, chunks, cut, join_spread, mix, tune
+from selvage.llm.common import BYTE_VALUES, RangeHash, chunks, cut, cut_rows, join_spread, mix, tune
 
 #: Bytes of a repeat, of the core that a group shares, distinct surroundings of a group that one task compares, and
 #: parts of a group that has more.
-LENGTH, CORE, MOST, PIECES = 400, 250, 4096, 8
+LENGTH, CORE, MOST, PIECES = 400, 250, 4096, 13
+#: Bytes of text that are hashed at once: some ten arrays of eight times that size.
+CHUNK_BYTES = 1 << 18
 
 
 def _slide(x: np.ndarray, width: int, op: np.ufunc) -> np.ndarray:
@@ -320,8 +323,8 @@ _PARTS = "p1 bigint, p2 bigint, q1 bigint, q2 bigint, g1 bigint, g2 bigint, c1 b
 
 
 def sized(each: DataFrame, by: list[str], tie: list[str]) -> DataFrame:
-    """each with m, the rows that share its values of `by`; the rows of one value are dealt over several tasks."""
-    return join_spread(each, cut(each.groupBy(*by).agg(F.count("*").alias("m"))), by, "m", tie)
+    """each (materialised) with m, the rows that share its values of `by`; the rows of one value are dealt over several tasks."""
+    return join_spread(each, each.groupBy(*by).agg(F.count("*").alias("m")), by, tie, size="m")
 
 
 def settle(each: DataFrame, surroundings: Callable[[DataFrame], DataFrame], slack: int, most: int, pieces: int = PIECES) -> DataFrame:
@@ -334,18 +337,21 @@ def settle(each: DataFrame, surroundings: Callable[[DataFrame], DataFrame], slac
     fit = surroundings(each.where(F.col("m") <= most)).repartition("g1", "g2").sortWithinPartitions("g1", "g2")
     done = fit.mapInArrow(_groups(slack), "g1 bigint, g2 bigint, c1 bigint, c2 bigint, lo int, hi int")
     large = each.where(F.col("m") > most)
-    if large.isEmpty():
+    if not (many := large.count()):
         return done
     # ranges of left extensions, all of one width; the last two may overlap
     values = -(-(slack + 1) // pieces)
     ranges = [(a, a + values - 1) for a in (min(k * values, slack + 1 - values) for k in range(-(-(slack + 1) // values)))]
-    parts = cut(surroundings(large).mapInArrow(_narrow(slack, ranges), _PARTS))
-    narrow = parts.groupBy("g1", "g2", "c1", "c2").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.min("left").alias("left"), F.min("bytes").alias("bytes"))
-    narrow = cut(sized(cut(narrow), ["g1", "g2"], ["c1", "c2"]).where("m > 1 OR copies > 1"))
+    many *= len(ranges)
+    parts = cut_rows(surroundings(large).mapInArrow(_narrow(slack, ranges), _PARTS), many)
+    member = ["g1", "g2", "c1", "c2"]
+    narrow = cut_rows(parts.groupBy(*member).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.min("left").alias("left"), F.min("bytes").alias("bytes")), many)
+    each = narrow.withColumn("m", F.lit(1).cast("bigint"))
+    if values > 1 and not narrow.groupBy("g1", "g2").agg(F.count("*").alias("m")).where(F.col("m") > most).isEmpty():
+        each = cut_rows(sized(narrow, ["g1", "g2"], ["c1", "c2"]), many)
     names = [x.split()[0] for x in _MEMBERS.split(", ")]
-    found = settle(narrow, lambda rows: rows.select(names), values - 1, most, pieces)
-    found = cut(found.join(narrow.select("g1", "g2", "c1", "c2", "n"), ["g1", "g2", "c1", "c2"]))
-    back = join_spread(parts.drop("bytes"), found, ["g1", "g2", "c1", "c2"], "n", ["q1", "q2"])
+    found = settle(each, lambda rows: rows.select(names), values - 1, most, pieces)
+    back = join_spread(parts.drop("bytes"), found, member, ["q1", "q2"], narrow)
     back = back.groupBy(F.col("p1").alias("g1"), F.col("p2").alias("g2"), F.col("q1").alias("c1"), F.col("q2").alias("c2")).agg(F.max(F.col("lo") + F.col("a")).alias("lo"), F.max(F.col("hi") + F.col("b")).alias("hi"))
     return done.union(back)
 
@@ -376,12 +382,14 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, mos
     strings repeated anywhere cover."""
     slack = length - core
     keys = docs.select("z").mapInArrow(_keys(length, core), "key bigint, n bigint")
-    often = cut(keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
+    often = keys.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").persist(StorageLevel.DISK_ONLY)
+    total = often.agg(F.sum("n")).first()[0] or 0
     spots = docs.select("d1", "d2", "z").mapInArrow(_anchors(length, core), "key bigint, c1 bigint, c2 bigint, d1 bigint, d2 bigint, pos int")
-    met = cut(join_spread(spots, often, ["key"], "n", ["d1", "pos"]).drop("n"))
+    met = cut_rows(join_spread(spots, often, ["key"], ["d1", "pos"]).drop("n"), total)
+    often.unpersist()
     # copies of the same surroundings are one member, combined before the shuffle
-    each = cut(met.groupBy("key", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d1", "d2", "pos")).alias("at")))
-    each = cut(sized(each, ["key"], ["c1", "c2"]).where("m > 1 OR copies > 1"))
+    each = cut_rows(met.groupBy("key", "c1", "c2").agg(F.count("*").alias("copies"), F.min(F.struct("d1", "d2", "pos")).alias("at")), total)
+    each = cut_rows(sized(each, ["key"], ["c1", "c2"]).where("m > 1 OR copies > 1"), total)
 
     def surroundings(rows: DataFrame) -> DataFrame:
         by_doc = rows.groupBy("at.d1", "at.d2").agg(F.collect_list(F.struct("c1", "c2", "copies", "m", "at.pos")).alias("at"))
@@ -390,11 +398,10 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH, core: int = CORE, mos
     # the groups proper are those of the core's digest; a key may hold several of them by a collision
     members = each.where("m > 1").withColumns({"g1": F.lit(None).cast("bigint"), "g2": F.lit(None).cast("bigint")})
     reach = settle(members, surroundings, slack, most).select("c1", "c2", "lo", "hi")
-    reach = reach.join(each.select("c1", "c2", F.col("copies").alias("n")), ["c1", "c2"])
-    same = each.where("m = 1").select("c1", "c2", F.lit(slack).alias("lo"), F.lit(slack).alias("hi"), F.col("copies").alias("n"))
-    covered = join_spread(met.drop("key"), cut(reach.union(same)), ["c1", "c2"], "n", ["d1", "pos"])
+    same = each.where("m = 1").select("c1", "c2", F.lit(slack).alias("lo"), F.lit(slack).alias("hi"))
+    covered = join_spread(met.drop("key"), reach.union(same), ["c1", "c2"], ["d1", "pos"], each, "copies")
     span = F.struct((F.col("pos") - F.col("lo")).alias("a"), (F.col("pos") + core + F.col("hi")).alias("b"))
-    return covered.groupBy("d1", "d2").agg(F.collect_set(span).alias("ranges"))
+    return cut_rows(covered.groupBy("d1", "d2").agg(F.collect_set(span).alias("ranges")), total)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, core: int = CORE, most: int = MOST) -> DataFrame:
@@ -411,7 +418,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kinds = T.StructType([rows.schema["id"]]).add("d1", "long").add("d2", "long").add("z", "binary")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = cut(rows.select("id", "d1", "d2", "text").mapInArrow(_pack, kinds).repartition(parts, "d1", "d2"))
-    ranges = cut(repeated_ranges(rows.select("d1", "d2", "z"), length, core, most))
+    ranges = repeated_ranges(rows.select("d1", "d2", "z"), length, core, most)
     done = rows.join(ranges, ["d1", "d2"], "left").select("id", "z", "ranges")
     schema = T.StructType([rows.schema["id"]]).add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept", "binary")
     return done.mapInArrow(_remove, schema)
