@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Delete shuffle files at the end of the execution that wrote them.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of a checkpointed partition where their number is known.
+CUT_ROWS = 50_000
+
 NODE_TYPES = ("Artefact", "Attribute", "Cluster", "CanonicalAttribute", "AcordConcept", "Release", "Decision")
 EDGE_TYPES = ("EVIDENCED_BY", "MEMBER_OF", "CANDIDATE_FOR", "ALIGNS_TO", "MAPS_TO", "RELEASED_IN", "DECIDED_BY")
 
@@ -44,6 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.unset(CLEAN_UP) if before is None else spark.conf.set(CLEAN_UP, before)
 
 
+def cut_rows(df: DataFrame, n: int, rows: int = CUT_ROWS) -> DataFrame:
+    """cut() of a frame of at most n rows, in no more partitions than have `rows` of them.
+
+    Spark joins small partitions itself where spark.sql.adaptive.coalescePartitions.enabled is on; here it is known
+    beforehand that they are small, and every partition of a checkpoint is a file of its own.
+    """
+    parts = max(1, -(-n // rows))
+    return cut(df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df)
+
+
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of links(a, b), not null and of one orderable type: node, component (its smallest node).
 
@@ -52,7 +65,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     Every round is checkpointed; within a round Spark reuses the shuffle of the large-star's links.
     """
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
+    seen, n = None, edges.count()
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m0")).select("node", F.least("node", "m0").alias("m"))
@@ -62,11 +75,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
         joined = large.join(low, F.col("a") == F.col("node"))
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select(F.col("node").alias("a"), F.col("m").alias("b")))
-        edges = cut(small.where("a <> b").distinct())
+        edges = cut_rows(small.where("a <> b").distinct(), n)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == seen:
             break
-        seen = now
+        seen, n = now, now[0]
     else:
         raise RuntimeError("components did not converge")
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
