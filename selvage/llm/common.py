@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvage.operators.graph import components, cut, shared_folder  # noqa: F401
+from selvage.operators.graph import components, cut, cut_rows, shared_folder  # noqa: F401
 
 #: Rows in an Arrow batch; with BATCH_BYTES it bounds what a Python worker holds at once.
 BATCH_ROWS = 1000
@@ -16,8 +16,6 @@ BATCH_ROWS = 1000
 CHUNK_BYTES = 1 << 20
 #: Rows of one value that a join leaves in one task, and values with more that it broadcasts at most.
 SHARE, HOTTEST = 1000, 100_000
-#: Rows of a checkpointed partition where their number is known.
-CUT_ROWS = 50_000
 
 
 def tune(spark: SparkSession) -> None:
@@ -29,16 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_rows(df: DataFrame, n: int) -> DataFrame:
-    """cut() of a frame of at most n rows, in no more partitions than have CUT_ROWS of them.
-
-    Spark joins small partitions itself where spark.sql.adaptive.coalescePartitions.enabled is on; here it is known
-    beforehand that they are small, and every partition of a checkpoint is a file of its own.
-    """
-    parts = max(1, -(-n // CUT_ROWS))
-    return cut(df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df)
-
-
 def join_spread(rows: DataFrame, told: DataFrame, by: list[str], tie: list[str], groups: DataFrame | None = None, size: str = "n") -> DataFrame:
     """rows joined with told on `by`. groups (or told itself): cheap to read, one row for each value of `by`, with `size`,
     how many of the rows have it.

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from selvage.llm.common import CHUNK_BYTES, chunks, components, cut, forest, mix, tune
+from selvage.llm.common import CHUNK_BYTES, chunks, components, cut, cut_rows, forest, join_spread, mix, tune
 
 #: Sequences longer than this are hashed in parts, to bound memory.
 PART = 1 << 16
@@ -300,8 +300,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 #: Words of 64 bits of a wide fingerprint. Minima of the shingle hashes that make a key: two sets of similarity s agree on a
 #: key with s**ROWS. The share of pairs at the required similarity that may have no key in common.
 WIDE, ROWS, LOST = 8, 4, 1e-4
-#: Pairs that read the text of one document in one task.
-READERS = 64
+#: Texts of a checkpointed partition.
+TEXT_ROWS = 2000
 
 
 def similar_radius(similarity: float, words: int = WIDE) -> int:
@@ -535,17 +535,15 @@ def _verify(width: int, similarity: float) -> Callable[[Iterator[pa.RecordBatch]
 
 
 def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of pairs(a, b) whose texts(node, text) have shingle sets of at least that similarity.
+    """Those of pairs(a, b), materialised, whose texts(node, text) have shingle sets of at least that similarity.
 
-    The text of a node of many pairs is dealt to several tasks, READERS pairs each.
+    The pairs of a node that has many are dealt to several tasks.
     """
+    read = pairs
     for side in ("a", "b"):
-        many = pairs.groupBy(side).agg(F.ceil(F.count("*") / READERS).cast("int").alias("parts")).where("parts > 1").select(F.col(side).alias("m"), "parts")
-        many = F.broadcast(cut(many))
-        dealt = texts.join(many, F.col("node") == F.col("m"), "left").select(F.col("node").alias(f"node_{side}"), F.col("text").alias(f"text_{side}"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
-        asked = pairs.join(many, F.col(side) == F.col("m"), "left").withColumn("deal", F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("m", "parts")
-        pairs = asked.join(dealt, (F.col(side) == F.col(f"node_{side}")) & (F.col("deal") == F.col("part"))).drop("deal", "part", f"node_{side}")
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, similarity), "a bigint, b bigint")
+        told = texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}"))
+        read = join_spread(read, told, [side], ["a", "b"], pairs.groupBy(side).agg(F.count("*").alias("n")))
+    return read.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, similarity), "a bigint, b bigint")
 
 
 def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], width: int, similarity: float) -> DataFrame:
@@ -562,15 +560,16 @@ def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], wi
         return cut(dealt.mapInArrow(_candidates(radius, similarity, every), "a bigint, b bigint").distinct())
 
     few = candidates(sets.withColumn("own", F.col("node")), False)
-    near = cut(few.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    texts = cut(text_of(near))
-    links = cut(verified(few, texts, width, similarity))
+    n = few.count()
+    near = cut_rows(few.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
+    texts = cut_rows(text_of(near), 2 * n, TEXT_ROWS)
+    links = cut_rows(verified(few, texts, width, similarity), n)
     joined = components(links).select(F.col("node").alias("m"), "component")
-    left = cut(sets.join(near, "node").join(joined, F.col("node") == F.col("m"), "left").withColumn("own", F.coalesce("component", "node")).drop("m", "component"))
+    left = cut_rows(sets.join(near, "node").join(joined, F.col("node") == F.col("m"), "left").withColumn("own", F.coalesce("component", "node")).drop("m", "component"), 2 * n)
     open_ = candidates(left, True).select(F.col("a").alias("key"), F.col("b").alias("node"))
     met = open_.join(left.select("node", "own"), "node").join(texts, "node").select("key", "node", "own", "text")
     more = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_settle(width, similarity), "a bigint, b bigint")
-    return cut(links.union(more))
+    return cut_rows(links.union(more), 2 * n)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -581,7 +580,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     missed); each link is decided on the sets. Repeats of a shingle in a document do not count.
 
     Documents without a word (null, empty, white space) have nothing to compare and all stay, but for repeated rows.
-    Of rows that agree in id and text one stays. Rows of a null id count as larger than any id. All columns are kept,
+    Of rows that agree in id and text the least one stays (by its JSON). Rows of a null id count as larger than any id. All columns are kept,
     whatever their names; an empty table gives an empty one.
     """
     names = docs.columns
@@ -595,8 +594,9 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words = own.where("node IS NOT NULL")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")).alias("first")
     # exact copies meet here: combined before any shuffle
-    each = cut(words.groupBy("node").agg(first))
-    sets = cut(words.select("node", "n", "fp", "keys").dropDuplicates(["node"]))
+    n = words.count()
+    each = cut_rows(words.groupBy("node").agg(first), n)
+    sets = cut_rows(words.select("node", "n", "fp", "keys").dropDuplicates(["node"]), n, 4 * TEXT_ROWS)
 
     def text_of(nodes: DataFrame) -> DataFrame:
         read = each.join(nodes, "node").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
@@ -609,5 +609,5 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept = kept.join(repeated, ["k1", "k2"])
     stays = keyed.select("k1", "k2", "row").join(kept, ["k1", "k2"])
     once = stays.where("n = 1").select("row.*")
-    again = stays.where("n > 1").groupBy("k1", "k2").agg(F.first("row").alias("row")).select("row.*")
+    again = stays.where("n > 1").groupBy("k1", "k2").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return once.union(again)
