@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder, wherever the cluster keeps it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_spread(rows: DataFrame, told: DataFrame, by: list[str], tie: list[str], groups: DataFrame | None = None, size: str = "n") -> DataFrame:
     """rows joined with told on `by`. groups (or told itself): cheap to read, one row for each value of `by`, with `size`,
     how many of the rows have it.

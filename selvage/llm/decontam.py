@@ -8,7 +8,6 @@ over the documents, never a larger broadcast.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -124,7 +123,7 @@ def _scan(blocks: list, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> list:
     """Broadcast blocks of at most BLOCK_BYTES of item text each, read one after the other."""
     sc = benchmark.sparkSession.sparkContext
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("t"))
+    rows = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("i"), F.encode(F.col(f"`{text_col}`").cast("string"), "UTF-8").alias("t"))
     out, block, size = [], [], 0
     for row in rows.toLocalIterator():
         text = bytes(row["t"] or b"")
@@ -145,16 +144,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, row: str = "doc_id", text_col: s
     benchmark hits nothing.
     """
     tune(docs.sparkSession)
-    rows = docs.select(F.col(row).alias("row"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(f"`{row}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     span = T.ArrayType(T.StructType().add("start", "long").add("end", "long"))
     schema = T.StructType([rows.schema["row"]]).add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType())).add("spans", span)
     return rows.mapInArrow(_scan(_blocks(benchmark, item_col, item_text_col), width), schema)
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
-
-
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", width: int = 10) -> DataFrame:
     """docs with every hit passage cut out of its text; a document of which no word is left goes.
 

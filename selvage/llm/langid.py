@@ -109,14 +109,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` of the rows that have a language and a text, chosen by the hash of their id."""
+    """A model from at most `sample` of the rows that have a language and a text, as many for each language if it has them.
+
+    They are chosen by a hash of id and text; repeated rows count once. Of more than `sample` languages the most frequent
+    ones are learned. The languages' counts and the sample's features reach the driver.
+    """
     tune(rows.sparkSession)
-    own = rows.where(F.col(lang_col).isNotNull())
-    n = own.count()
-    share = min(1.0, 0.9 * sample / max(1, n))
-    some = own.where(F.pmod(F.xxhash64(F.lit(13), F.col(id_col)), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    picked = some.where(F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    got = [(r["lang"], bytes(r["x"])) for r in picked.mapInArrow(_counted, "lang string, x binary").limit(sample).toLocalIterator()]
+    own = rows.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{id_col}`").alias("id"))
+    own = own.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text", F.xxhash64(F.lit(13), "id", "text").alias("draw"))
+    sizes = own.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).orderBy(F.desc("n"), "lang").limit(sample).collect()
+    quota = max(1, sample // max(1, len(sizes)))
+    share = [(r["lang"], int(min(1.0, 0.9 * quota / max(1, r["n"])) * (1 << 20))) for r in sizes]
+    limits = F.broadcast(rows.sparkSession.createDataFrame(share, "lang string, most int"))  # at most `sample` rows
+    some = own.join(limits, "lang").where(F.pmod("draw", F.lit(1 << 20)) < F.col("most")).dropDuplicates(["lang", "draw"]).orderBy("draw", "lang").limit(sample)
+    got = [(r["lang"], bytes(r["x"])) for r in some.select("lang", "text").mapInArrow(_counted, "lang string, x binary").toLocalIterator()]
     got = sorted((g for g in got if any(g[1])), key=lambda g: g)
     x = normalise(np.frombuffer(b"".join(g[1] for g in got), dtype="<u2").reshape(-1, BUCKETS))
     return fit(x, [g[0] for g in got])

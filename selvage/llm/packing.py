@@ -23,6 +23,8 @@ from selvage.llm.common import tune
 
 #: Documents of a group, about. A group holds its pieces' ids (2 or 4 bytes each) in one task.
 GROUP_DOCS = 1000
+#: Bytes of text of a group, if its documents are long.
+GROUP_BYTES = 32 << 20
 #: Distinct words whose ids a worker remembers.
 REMEMBERED = 600_000
 
@@ -81,22 +83,23 @@ def classes_of_chars() -> np.ndarray:
 
 
 class Encoder:
-    """Ids of a byte-level BPE file (tokenizers JSON, GPT-2 split), the same as `tokenizers` gives without special tokens.
+    """Ids of a byte-level BPE file (tokenizers JSON, GPT-2 split), the same as `tokenizers` gives with add_special_tokens=False.
 
     The text is cut into words by vector operations on its code points; each distinct word is encoded once by BPE over
-    the file's own vocabulary and remembered. Files of any other make are left to `tokenizers` itself. (`tokenizers` takes over 2.5 times as long.)
+    the file's own vocabulary and remembered. Texts that hold an added token, and files of any other make, are left to `tokenizers` itself. (`tokenizers` takes over 2.5 times as long.)
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.size = self.slow.get_vocab_size()
         self.kind = "H" if self.size <= 1 << 16 else "I"
         self.words: dict[str, bytes] = {}
+        #: Texts that hold one of these are cut at it, by the file's own rules for it.
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
         self.core = self._core(spec)
         self.kinds = classes_of_chars() if self.core else None
         self.few = self.kinds[:256].copy() if self.core else None
@@ -150,7 +153,7 @@ class Encoder:
         """The ids of a text as 16-bit numbers (32-bit ones if the file has over 65,536 ids)."""
         if not text:
             return b""
-        if self.core is None:
+        if self.core is None or any(x in text for x in self.added):
             return array(self.kind, self.slow.encode(text, add_special_tokens=False).ids).tobytes()
         words, cut = self.words, self.pieces(text)
         try:
@@ -189,8 +192,8 @@ def _tokenise(path: str, end_id: int, length: int) -> Callable[[Iterator[pa.Reco
                         total.append(len(every) // width)
                         ids.append(every[a : a + length * width])
                 yield pa.record_batch(
-                    [part.column(0).take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(row), pa.int32())],
-                    names=["row", "start", "doc_tokens", "ids", "width"],
+                    [*(part.column(c).take(pa.array(row, pa.int64())) for c in (0, 2)), pa.array(start, pa.int64()), pa.array(total, pa.int64()), pa.array(ids, pa.binary()), pa.array([width] * len(row), pa.int32())],
+                    names=["row", "group", "start", "doc_tokens", "ids", "width"],
                 )
 
     return run
@@ -232,13 +235,16 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     tokenizer: path of a tokenizers JSON file, readable on every executor. A document is its ids and then end_id, so a null or
     empty text is one token. Pieces of a document hold each id once, in order; offsets in a sequence have no gap. Every
     sequence is padded to `length` by the reader. Null ids and repeated rows are packed like any other; an empty table
-    gives no piece. The groups are random, so equal rows, however many, spread over all of them.
+    gives no piece. Documents are dealt to random groups of about group_docs of them, fewer where they are long, so that a
+    group has about GROUP_BYTES of text at most, or one document more; equal rows, however many, spread over all groups.
     """
     tune(docs.sparkSession)
-    groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(f"`{id_col}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    cut_schema = T.StructType([rows.schema["row"]]).add("start", "long").add("doc_tokens", "long").add("ids", "binary").add("width", "integer")
-    pieces = rows.mapInArrow(_tokenise(tokenizer, end_id, length), cut_schema).withColumn("group", F.floor(F.rand(17) * groups).cast("bigint"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text").cast("bigint"))).first()
+    groups = max(1, -(-n // group_docs), -(-(size or 0) // GROUP_BYTES))
+    rows = rows.withColumn("group", F.floor(F.rand(17) * groups).cast("bigint"))
+    cut_schema = T.StructType([rows.schema["row"]]).add("group", "long").add("start", "long").add("doc_tokens", "long").add("ids", "binary").add("width", "integer")
+    pieces = rows.mapInArrow(_tokenise(tokenizer, end_id, length), cut_schema)
     dealt = pieces.repartition("group").sortWithinPartitions("group")
     schema = T.StructType([rows.schema["row"]])
     for name in ("start", "length", "doc_tokens", "sequence_id", "offset"):

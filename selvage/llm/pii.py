@@ -450,5 +450,3 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars",
     return done.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in names])
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

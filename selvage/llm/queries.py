@@ -73,10 +73,10 @@ def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
-    model = langid.train(docs.where(~held_out))
+    held_out = lambda c: F.coalesce(F.crc32(F.col(c).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = langid.train(docs.where(~held_out("doc_id")))
     found = langid.predict(docs, model)
-    return found.select(F.col("id").alias("doc_id"), (F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

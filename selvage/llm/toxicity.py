@@ -162,12 +162,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     Only the sample's ids (broadcast, at most 2 x sample of them) and its features reach the driver.
     """
     tune(docs.sparkSession)
-    own = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
+    own = labels.where(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg(F.max(F.col(f"`{label_col}`").cast("int")).alias("label"))
     draw = F.xxhash64(F.lit(11), "id")
     some = own.where("label > 0").orderBy(draw, "id").limit(sample).union(own.where("label <= 0").orderBy(draw, "id").limit(sample))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(some), "id").select("label", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(some), "id")
+    # an id that several documents share gives all of them; repeated rows count once
+    texts = texts.withColumn("draw", F.xxhash64(F.lit(11), "id", "text")).dropDuplicates(["id", "draw"]).orderBy("draw", "id").limit(3 * sample).select("label", "text")
     got = texts.mapInArrow(_features, "label int, features binary, n_words bigint, sketch bigint")
-    rows = [(max(0, r["label"]), r["sketch"], np.frombuffer(bytes(r["features"]), dtype=np.uint64), r["n_words"]) for r in got.limit(3 * sample).toLocalIterator()]
+    rows = [(max(0, r["label"]), r["sketch"], np.frombuffer(bytes(r["features"]), dtype=np.uint64), r["n_words"]) for r in got.toLocalIterator()]
     rows.sort(key=lambda r: (r[0], r[1], r[3], len(r[2]), int(r[2].sum()) if len(r[2]) else 0))  # the order of rows must not matter
     # a group of near copies must not make its own words look toxic: one of them counts
     own = {(label, sketch if n > 2 else i): (h, n, label) for i, (label, sketch, h, n) in enumerate(rows)}

@@ -157,7 +157,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     name = F.concat(F.lit("urn:page:"), F.coalesce("id", F.lit("null")), F.lit(":"), F.col("row").cast("string"))
     rows = rows.withColumn("name", name)
     large = rows.where(F.col("bytes") >= least).where("order IS NOT NULL")
-    heads = large.groupBy("sha1", "bytes").agg(F.max(F.struct("order", "name")).alias("head"), F.count("*").alias("n")).select(F.col("sha1").alias("h"), F.col("bytes").alias("b"), "head")
+    heads = large.groupBy("sha1", "bytes").agg(F.max(F.struct("order", "name")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("h"), F.col("bytes").alias("b"), "head")
     joined = rows.join(heads, (F.col("sha1") == F.col("h")) & (F.col("bytes") == F.col("b")), "left")
     refers = F.when(F.col("head.order").isNotNull() & ~F.col("order").eqNullSafe(F.col("head.order")), F.col("head.name"))
     ready = joined.select("name", "url", "payload", refers.alias("refers"))

@@ -20,6 +20,14 @@ def larger():
     return "/root/testdata/sf0.01"
 
 
+@pytest.fixture(scope="session")
+def labelled():
+    """A table with some hundreds of labelled toxic documents."""
+    if not pathlib.Path("/root/testdata/sf0.1").exists():
+        pytest.skip("no test data here")
+    return "/root/testdata/sf0.1"
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Rows that no operator may trip over, with columns of clashing names."""

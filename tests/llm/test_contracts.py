@@ -81,7 +81,6 @@ def test_op4(spark, sf, docs):
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(queries.tokenizer_path())
-    own.encode_special_tokens = True
     pieces = queries.op4_packing(spark, sf).collect()
     by_doc, by_sequence = collections.defaultdict(list), collections.defaultdict(list)
     for r in pieces:

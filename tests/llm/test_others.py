@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from selvage.llm import decontam, langid, packing, queries, sharding, toxicity, warc
 
@@ -18,6 +19,68 @@ def test_encoder_equals_tokenizers():
         assert np.frombuffer(own.encode(t), np.uint16).tolist() == own.slow.encode(t, add_special_tokens=False).ids, repr(t)
 
 
+def test_added_tokens_are_one_id():
+    from tokenizers import Tokenizer
+
+    text = "end <|endoftext|> begin"
+    own = packing.encoder(queries.tokenizer_path())
+    want = Tokenizer.from_file(queries.tokenizer_path()).encode(text, add_special_tokens=False).ids
+    assert 50256 in want and np.frombuffer(own.encode(text), np.uint16).tolist() == want
+
+
+def test_groups_of_long_documents_are_small(spark, monkeypatch):
+    """Documents stay together in a group, and long ones make more groups."""
+    monkeypatch.setattr(packing, "GROUP_BYTES", 20_000)
+    df = spark.createDataFrame([(i, "some words of a long text " * 200) for i in range(40)], "doc_id long, text string")
+    pieces = packing.pack(df, queries.tokenizer_path(), length=256).collect()
+    group = collections.defaultdict(set)
+    for r in pieces:
+        group[r["id"]].add(r["sequence_id"] >> 32)
+    assert all(len(g) == 1 for g in group.values()) and len(set.union(*group.values())) > 4
+
+
+def test_sharding_against_plain_python(spark):
+    """The weighted draws of each level, worked out again one key at a time."""
+    import math
+    import struct
+
+    import xxhash
+
+    def place(key, node):
+        while node.children:
+            def cost(c):
+                h = xxhash.xxh64_intdigest(c.name.encode(), xxhash.xxh64_intdigest(struct.pack("<q", key), 42))
+                return -math.log(((h >> 11) + 0.5) / (1 << 53)) / c.weight
+
+            node = min(node.children, key=cost)
+        return node.shard
+
+    root = sharding.tree(16)
+    grown = sharding.grow(root, 2.5)
+    df = spark.range(3000).select((F.col("id") * 977 - 5000).alias("doc_id"), F.lit("x").alias("text"))
+    got = sharding.assign(df, root, grown).collect()
+    assert len(got) == 3000 and all((r["shard"], r["grown_shard"]) == (place(r["id"], root), place(r["id"], grown)) for r in got)
+
+
+def test_toxicity_on_held_out_labels(spark, labelled):
+    """Fitted on half of the labels, judged on the other half."""
+    docs, labels = (spark.read.parquet(f"{labelled}/{t}.parquet") for t in ("documents", "labels"))
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    found = {r["row"]: r["grade"] for r in toxicity.score(docs, toxicity.train(docs, labels.where(half))).collect()}
+    rest = labels.where(~half).where("toxic IS NOT NULL").collect()
+    missed = sum(r["toxic"] > 0 and not found[r["doc_id"]] for r in rest)
+    false = sum(r["toxic"] == 0 and found[r["doc_id"]] > 0 for r in rest)
+    assert missed <= 0.25 * sum(r["toxic"] > 0 for r in rest) and false <= 0.02 * len(rest)
+
+
+def test_rare_languages_are_learned(spark):
+    common = [(i, f"the of and to in a is that it was number {i} for on are with as", "en") for i in range(3000)]
+    rare = [(5000 + i, f"ja ei se on mutta kun niin kuin myös {i} vain ollut hän ovat", "fi") for i in range(6)]
+    model = langid.train(spark.createDataFrame(common + rare, "doc_id long, text string, lang string"), sample=200)
+    asked = spark.createDataFrame([(1, "mutta hän ei ollut niin kuin se on"), (2, "that is for the number of it")], "doc_id long, text string")
+    assert model.languages == ["en", "fi"] and {r["id"]: r["lang_pred"] for r in langid.predict(asked, model).collect()} == {1: "fi", 2: "en"}
+
+
 def test_first_fit_decreasing_is_first_fit():
     rng = np.random.default_rng(4)
     sizes = rng.integers(1, 65, 300)
