@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from selvage.llm import decontam, packing, pii, simhash, toxicity
-from selvage.llm.common import shared_folder, table
+from selvage.llm.common import delete, shared_folder, table
 from selvage.llm.queries import tokenizer_path
 
 
@@ -48,7 +48,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each but the last written to the shared folder and read again."""
+    """The stages applied to documents, each but the last written to the shared folder and read again.
+
+    What the last stage reads stays there, for the caller to read the result as often as needed.
+    """
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
@@ -56,4 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if k:  # nothing reads the stage before any more
+                delete(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
