@@ -563,13 +563,13 @@ def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], wi
     n = few.count()
     near = cut_rows(few.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * n)
     texts = cut_rows(text_of(near), 2 * n, TEXT_ROWS)
-    links = cut_rows(verified(few, texts, width, similarity), n)
+    links = cut_rows(verified(few, texts, width, similarity), n, TEXT_ROWS // 2)
     joined = components(links).select(F.col("node").alias("m"), "component")
     left = cut_rows(sets.join(near, "node").join(joined, F.col("node") == F.col("m"), "left").withColumn("own", F.coalesce("component", "node")).drop("m", "component"), 2 * n)
     open_ = candidates(left, True).select(F.col("a").alias("key"), F.col("b").alias("node"))
     met = open_.join(left.select("node", "own"), "node").join(texts, "node").select("key", "node", "own", "text")
     more = met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_settle(width, similarity), "a bigint, b bigint")
-    return cut_rows(links.union(more), 2 * n)
+    return cut(links.union(more))
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

@@ -35,6 +35,8 @@ from selvage.llm.common import BYTE_VALUES, RangeHash, chunks, cut, cut_rows, jo
 #: Bytes of a repeat, of the core that a group shares, distinct surroundings of a group that one task compares, and
 #: parts of a group that has more.
 LENGTH, CORE, MOST, PIECES = 400, 250, 4096, 13
+#: Members that one task cuts in parts.
+CUT_MEMBERS = 5000
 #: Bytes of text that are hashed at once: some ten arrays of eight times that size.
 CHUNK_BYTES = 1 << 18
 
@@ -343,7 +345,7 @@ def settle(each: DataFrame, surroundings: Callable[[DataFrame], DataFrame], slac
     values = -(-(slack + 1) // pieces)
     ranges = [(a, a + values - 1) for a in (min(k * values, slack + 1 - values) for k in range(-(-(slack + 1) // values)))]
     many *= len(ranges)
-    parts = cut_rows(surroundings(large).mapInArrow(_narrow(slack, ranges), _PARTS), many)
+    parts = cut_rows(surroundings(large).mapInArrow(_narrow(slack, ranges), _PARTS), many, CUT_MEMBERS)
     member = ["g1", "g2", "c1", "c2"]
     narrow = cut_rows(parts.groupBy(*member).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"), F.min("left").alias("left"), F.min("bytes").alias("bytes")), many)
     each = narrow.withColumn("m", F.lit(1).cast("bigint"))
