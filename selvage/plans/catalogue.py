@@ -39,6 +39,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; where they are fewer files than cores, dealt out first: a file of one row group is read by one task."""
+    rows = table(spark, sf_dir, "documents")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+
+
 def _sql_list(values: tuple[str, ...]) -> str:
     return "[" + ", ".join(f"'{v}'" for v in values) + "]"
 
@@ -215,12 +222,12 @@ _FOUND = (
 
 @query(_FOUND + " SELECT CASE detector WHEN 'title-case-sequence' THEN 'L2' WHEN 'sensitive-domain-lexicon' THEN 'L4' ELSE 'L1' END AS rung, detector, count(*) AS n FROM found GROUP BY ALL")
 def detector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gate.hits(table(spark, sf_dir, "documents").select(gate.spans(F.coalesce("text", F.lit(""))).alias("spans")))
+    return gate.hits(documents(spark, sf_dir).select(gate.spans(F.coalesce("text", F.lit(""))).alias("spans")))
 
 
 @query(_FOUND + " SELECT doc_id, d AS card FROM found WHERE detector = 'card-pan'")
 def luhn_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(gate.matches(F.col("text"), "card-pan")).alias("v")).select("doc_id", F.regexp_replace("v", "[ -]", "").alias("card"))
+    return documents(spark, sf_dir).select("doc_id", F.explode(gate.matches(F.col("text"), "card-pan")).alias("v")).select("doc_id", F.regexp_replace("v", "[ -]", "").alias("card"))
 
 
 _LABELLED = (
@@ -232,13 +239,13 @@ _LABELLED = (
 
 @query(_LABELLED + " SELECT CASE WHEN sensitive THEN 'block' WHEN identifying THEN 'mask' ELSE 'allow' END AS verdict, count(*) AS n FROM l GROUP BY 1")
 def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("spans", gate.spans(F.coalesce("text", F.lit(""))))
+    docs = documents(spark, sf_dir).withColumn("spans", gate.spans(F.coalesce("text", F.lit(""))))
     return docs.select(gate.verdict(gate.labels(F.col("spans"), F.lit(True))).alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 @query(_LABELLED + " SELECT CASE WHEN sensitive THEN 'block-personal' WHEN source IN ('src1', 'src2') THEN 'block-unlicensed' ELSE 'allow-documentary-masked' END AS rule, count(*) AS n FROM l GROUP BY 1")
 def policy_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("spans", gate.spans(F.coalesce("text", F.lit(""))))
+    docs = documents(spark, sf_dir).withColumn("spans", gate.spans(F.coalesce("text", F.lit(""))))
     licence = F.when(F.col("source").isin("src1", "src2"), "prohibited").otherwise("permitted")
     return docs.select(gate.policy(gate.labels(F.col("spans"), F.lit(True)), licence, F.lit(True)).alias("p")).groupBy(F.col("p.rule").alias("rule")).agg(F.count("*").alias("n"))
 
@@ -248,7 +255,7 @@ _TOKEN = f"'<IDENTIFYING:' || left(sha256(from_hex('{_PADS[1]}') || from_hex(sha
 
 @query(_FOUND + f" SELECT doc_id, v AS email, {_TOKEN.format(v='v')} AS token FROM found WHERE detector = 'email'")
 def tokenise_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(gate.matches(F.col("text"), "email")).alias("email"))
+    found = documents(spark, sf_dir).select("doc_id", F.explode(gate.matches(F.col("text"), "email")).alias("email"))
     return found.select("doc_id", "email", token(KEY, "IDENTIFYING", F.col("email")).alias("token"))
 
 
@@ -258,12 +265,12 @@ SELECT d.doc_id, sha256(CASE WHEN vs IS NULL THEN text ELSE list_reduce(list_pre
 def redact_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masking by one detector, which SQL can follow; redact_documents masks by all."""
     span = lambda v: F.struct(F.lit("L1").alias("rung"), F.lit("IDENTIFYING").alias("label"), v.alias("value"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(gate.redact(F.col("text"), F.transform(gate.matches(F.col("text"), "email"), span), KEY), 256).alias("sha"))
+    return documents(spark, sf_dir).select("doc_id", F.sha2(gate.redact(F.col("text"), F.transform(gate.matches(F.col("text"), "email"), span), KEY), 256).alias("sha"))
 
 
 @query()
 def redact_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = gate.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+    out = gate.classify(documents(spark, sf_dir).select("doc_id", "text"), KEY)
     return out.select("doc_id", "verdict", F.col("policy.rule").alias("rule"), "exclusion", F.sha2("output", 256).alias("sha"), "residual")
 
 
@@ -297,7 +304,7 @@ _COLLAPSED = "regexp_replace(regexp_replace({t}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'
 
 @query(f"SELECT sha256({_COLLAPSED.format(t='text')}) AS chunk_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1")
 def chunk_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy(retrieval.chunk_hash(F.col("text")).alias("chunk_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return documents(spark, sf_dir).groupBy(retrieval.chunk_hash(F.col("text")).alias("chunk_hash")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
 
 
 _PLAIN = _COLLAPSED.format(t="regexp_replace({t}, '<[^>]*>', ' ', 'g')")
@@ -314,7 +321,7 @@ def html_heading_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] ELSE generate_series(0, greatest(0, CAST(ceil((len(w) - 900) / 765.0) AS INT)) * 765, 765) END) AS s FROM w)
 SELECT doc_id, sha256(array_to_string(w[s + 1 : s + 900], ' ')) AS chunk_hash, count(*) AS n FROM s GROUP BY ALL""")
 def word_window_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(retrieval.word_windows(F.col("text"))).alias("c"))
+    own = documents(spark, sf_dir).select("doc_id", F.explode(retrieval.word_windows(F.col("text"))).alias("c"))
     return own.groupBy("doc_id", F.sha2("c", 256).alias("chunk_hash")).agg(F.count("*").alias("n"))
 
 
@@ -327,7 +334,7 @@ bm AS (SELECT doc_id, sum(asked * ln(1 + (n - df + 0.5) / (df + 0.5)) * f * 2.5
 
 @query("WITH " + _BM25 + " SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 9) DESC, doc_id LIMIT 25")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = retrieval.bm25(table(spark, sf_dir, "documents"), [_QUERY], "doc_id")
+    scores = retrieval.bm25(documents(spark, sf_dir), [_QUERY], "doc_id")
     return retrieval.top(scores.withColumn("score", F.round("score", 9)), 25, "doc_id").select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -350,13 +357,12 @@ def knn_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query", "vec_id", "rank", F.round("score", 6).alias("score"))
 
 
-@query("WITH " + _BM25 + ", " + _VECTOR + """, ranks AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm UNION ALL SELECT vec_id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id) FROM vs)
-SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranks WHERE rank <= 10000 GROUP BY id ORDER BY score DESC, id LIMIT 25""")
+@query("WITH " + _BM25 + ", " + _VECTOR + """, ranks AS (SELECT doc_id AS id, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS rank, true AS word FROM bm UNION ALL SELECT vec_id, row_number() OVER (ORDER BY round(score, 9) DESC, vec_id), false FROM vs)
+SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranks WHERE word OR rank <= 10000 GROUP BY id ORDER BY score DESC, id LIMIT 25""")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = retrieval.bm25(table(spark, sf_dir, "documents"), [_QUERY], "doc_id").select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    words = retrieval.bm25(documents(spark, sf_dir), [_QUERY], "doc_id").select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
     vectors = retrieval.vector_scores(table(spark, sf_dir, "embeddings"), _ASKED, "vec_id").select(F.col("vec_id").alias("id"), F.round("score", 9).alias("score"))
-    fused = retrieval.fuse([retrieval.ranked(retrieval.top(x, 10_000, "id"), "id") for x in (words, vectors)], "id")
-    return retrieval.top(fused.withColumn("score", F.round("score", 9)), 25, "id").select("id", "score")
+    return retrieval.hybrid(words, vectors, "id", digits=9).select("id", "score")
 
 
 @query(f"""WITH t AS (SELECT DISTINCT p_name, lower({_COLLAPSED.format(t='p_name')}) AS norm FROM part), d AS (SELECT p_name, sha256(norm || '|0') AS h0, sha256(norm || '|1') AS h1 FROM t),
@@ -415,7 +421,7 @@ def profile_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_A + " SELECT x.key, count(y.key) AS n, coalesce(string_agg(y.localName, ',' ORDER BY y.localName), '') AS siblings FROM b x LEFT JOIN b y ON x.contract = y.contract AND x.parentPath = y.parentPath AND x.id <> y.id GROUP BY x.key")
 def sibling_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return match.profile(attributes(spark, sf_dir)).select("key", F.size("siblings").cast("bigint").alias("n"), F.array_join("siblings", ",").alias("siblings"))
+    return match.profile(attributes(spark, sf_dir), siblings=True).select("key", F.size("siblings").cast("bigint").alias("n"), F.array_join("siblings", ",").alias("siblings"))
 
 
 @query(_BLOCKS + " SELECT block, CAST(len(members) AS BIGINT) AS n, sha256(array_to_string(members, ',')) AS members FROM blocks")

@@ -25,7 +25,7 @@ def frame(spark):
 
 def test_profile(frame):
     rows = [attribute(1, "lossDate"), attribute(2, "reserveAmt", description="One of A, B"), attribute(3, "other", kind="unknown")]
-    got = {r["attributeId"][-1]: r for r in match.profile(frame(rows)).collect()}
+    got = {r["attributeId"][-1]: r for r in match.profile(frame(rows), siblings=True).collect()}
     assert got["1"]["findings"] == ["type-suspicion: string that denotes a date"] and got["1"]["siblings"] == ["other", "reserveAmt"]
     assert got["2"]["findings"][0] == "type-suspicion: string that denotes an amount" and got["2"]["findings"][-1].startswith("undeclared-enum")
     assert got["3"]["findings"] == ["opaque-type: no type declared"] and got["2"]["block_head"] == "amount"
@@ -157,3 +157,18 @@ def test_emission(spark):
     old = spark.createDataFrame([("core/a", "1"), ("core/b", "1"), ("extension/c", "1")], "path string, sha256 string")
     new = spark.createDataFrame([("core/a", "1"), ("core/b", "2"), ("core/d", "1")], "path string, sha256 string")
     assert sorted(map(tuple, emit.difference(old, new).collect())) == [("core/b", "changed", True), ("core/d", "added", False), ("extension/c", "removed", False)]
+
+
+def test_sibling_overlap_is_that_of_the_name_sets(frame):
+    import itertools
+
+    rows = [attribute(i, name, parent=parent) for i, (name, parent) in enumerate([("a", "p"), ("b", "p"), ("b", "p"), ("c", "p"), ("a", "q"), ("c", "q"), ("d", "q"), ("x", "r"), ("a", None), ("b", None), ("y", "s")])]
+    ids = [r["attributeId"] for r in rows]
+    beside = {r["attributeId"]: {o["localName"] for o in rows if o["attributeId"] != r["attributeId"] and (o["sourceContract"], o["parentPath"]) == (r["sourceContract"], r["parentPath"])} for r in rows}
+    profiled = match.profile(frame(rows))
+    asked = profiled.sparkSession.createDataFrame(list(itertools.combinations(sorted(ids), 2)), "a string, b string")
+    got = {(r["a"], r["b"]): r["overlap"] for r in match.sibling_overlap(asked, profiled).collect()}
+    assert len(got) == len(ids) * (len(ids) - 1) // 2
+    for (a, b), overlap in got.items():
+        union = beside[a] | beside[b]
+        assert abs(overlap - (len(beside[a] & beside[b]) / len(union) if union else 0.0)) < 1e-12, (a, b)
