@@ -163,17 +163,17 @@ def redact(text: Column, spans_: Column, key: bytes) -> Column:
 
 
 def classify(documents: DataFrame, key: bytes, text: str = "text", licence: Column | None = None, approved: Column | None = None) -> DataFrame:
-    """documents with spans, labels, verdict, rule, exclusion, output (masked, null if blocked) and residual (whether a
-    masked value is still there). A null text has no spans and is allowed as documentary."""
+    """documents with spans, labels, verdict, rule, exclusion, output (masked, null if blocked or if a masked value is
+    still there) and residual (whether one is). A null text has no spans and is allowed as documentary."""
     prose = F.coalesce(F.col(text), F.lit(""))
     out = documents.withColumn("spans", spans(prose)).withColumn("labels", labels(F.col("spans"), prose != ""))
     out = out.withColumn("policy", policy(F.col("labels"), F.lit("permitted") if licence is None else licence, F.lit(True), approved))
     gate = F.when((F.col("policy.verdict") == "block"), "block").otherwise(verdict(F.col("labels")))
     out = out.withColumn("verdict", gate).withColumn("exclusion", F.when(F.col("verdict") == "block", exclusion(F.col("policy.rule"))))
     masked = F.when(F.col("verdict") == "block", F.lit(None)).otherwise(redact(prose, F.col("spans"), key))
-    out = out.withColumn("output", masked)
     residual = F.exists("spans", lambda s: s["rung"].isin("L1", "L2", "L3") & F.contains(F.col("output"), s["value"]))
-    return out.withColumn("residual", F.coalesce(residual, F.lit(False)))
+    out = out.withColumn("output", masked).withColumn("residual", F.coalesce(residual, F.lit(False)))
+    return out.withColumn("output", F.when(~F.col("residual"), F.col("output")))
 
 
 # --- ledger --------------------------------------------------------------------------------------------------------------

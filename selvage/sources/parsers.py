@@ -279,7 +279,8 @@ _EXAMPLES, _PROSE = {"example", "examples", "default", "const"}, {"description",
 
 
 def structure(content: bytes, media_type: str) -> tuple[list[str], list[str], list[str]]:
-    """Structural texts, examples and prose of a document; one that cannot be read is prose as a whole."""
+    """Structural texts, examples and prose of a document; one that cannot be read, or what lies deeper than four times
+    DEPTH, is prose as a whole."""
     structural, examples, prose = [], [], []
 
     def literals(node: object) -> None:
@@ -293,9 +294,9 @@ def structure(content: bytes, media_type: str) -> tuple[list[str], list[str], li
             examples.append(str(node))
 
     def walk(node: object, depth: int = 0) -> None:
-        if depth > DEPTH * 4:
-            return
-        if isinstance(node, dict):
+        if depth > DEPTH * 4:  # too deep to be placed: the gate must see it all the same
+            prose.append(json.dumps(node, ensure_ascii=False))
+        elif isinstance(node, dict):
             for k, v in node.items():
                 if k in _EXAMPLES:
                     literals(v)
@@ -325,7 +326,7 @@ def structure(content: bytes, media_type: str) -> tuple[list[str], list[str], li
                     structural.extend(v for k, v in e.attrib.items() if k in ("name", "type", "ref", "base"))
                     examples.extend(v for k, v in e.attrib.items() if k in ("default", "fixed"))
             return structural, examples, prose
-    except (ValueError, ET.ParseError):
+    except (ValueError, RecursionError, ET.ParseError):
         pass
     return [], [], [content.decode("utf-8", "replace")]
 
