@@ -467,12 +467,13 @@ def components(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_COMPONENTS + """, mean AS (SELECT node, avg(score) AS m FROM (SELECT a AS node, score FROM edges UNION ALL SELECT b, score FROM edges) GROUP BY node)
 SELECT c.component, arg_min(c.node, (h.tier, -round(m.m, 9), c.node)) AS core, count(*) AS members, arg_min(h.localName, (length(h.localName), h.localName)) AS concept FROM comp c JOIN h ON c.node = h.id JOIN mean m ON m.node = c.node GROUP BY 1""")
 def core_member(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = graph.cut(_scored(spark, sf_dir).where(F.col("score") >= Settings().link).select("a", "b", "score"))
-    mean = scored.select(F.col("a").alias("node"), "score").union(scored.select("b", "score")).groupBy("node").agg(F.round(F.avg("score"), 9).alias("m"))
-    rows = graph.components(scored.select("a", "b")).join(mean, "node").join(attributes(spark, sf_dir).select(F.col("attributeId").alias("node"), "evidenceTier", "localName"), "node")
-    return rows.groupBy("component").agg(
-        match.best_by(F.col("node"), F.col("evidenceTier"), -F.col("m"), F.col("node")).alias("core"), F.count("*").alias("members"), match.best_by(F.col("localName"), F.length("localName"), F.col("localName")).alias("concept")
-    )
+    """Core and name of each linked group, as clusters are built from it, before any split."""
+    edges = graph.cut(_scored(spark, sf_dir).where(F.col("score") >= Settings().link).select("a", "b", "score"))
+    none = F.lit(None).cast("string")
+    groups = graph.components(edges.select("a", "b")).select("component", F.lit(0).alias("part"), F.col("node").alias("attributeId"), none.alias("conflictClass"), none.alias("conflictDetail"))
+    own = match.clusters(groups, edges, match.profile(attributes(spark, sf_dir)))
+    ids, core = F.transform("members", lambda m: m["attributeId"]), F.filter("members", lambda m: m["role"] == "core")
+    return own.select(F.array_min(ids).alias("component"), core[0]["attributeId"].alias("core"), F.size("members").cast("bigint").alias("members"), F.col("proposedConcept").alias("concept"))
 
 
 @query()
@@ -626,16 +627,76 @@ def roundtrip_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping.losses(_orders(spark, sf_dir), steps, ["id"]).groupBy("path", "declared").agg(F.count("*").alias("n"))
 
 
-@query("SELECT DISTINCT o_orderstatus AS value FROM orders EXCEPT SELECT unnest(['F', 'O'])")
+def _problems(spark: SparkSession, spec: mapping.Spec, fields: list[mapping.RegionField]) -> DataFrame:
+    """What the compiler says of a specification."""
+    try:
+        mapping.compile_spec(spec, fields, {})
+        found = []
+    except mapping.CompilationFailed as failed:
+        found = [(x.check, x.path, x.message) for x in failed.problems]
+    return spark.createDataFrame(found, "code string, place string, detail string")
+
+
+@query("""SELECT 'T4' AS code, 'status' AS place, 'unmapped values: [' || string_agg(chr(39) || v || chr(39), ', ' ORDER BY v) || ']' AS detail FROM (SELECT DISTINCT o_orderstatus AS v FROM orders EXCEPT SELECT unnest(['F', 'O'])) HAVING count(*) > 0""")
 def valuemap_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = spark.createDataFrame([(k,) for k in _SPEC.value_maps["status"]], "value string")
-    return table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("value")).distinct().join(known, "value", "left_anti")
+    """The declared values are those of the table; the map must cover them."""
+    declared = tuple(r["v"] for r in table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("v")).distinct().collect())
+    spec = mapping.Spec((mapping.Entry("Order.Status", "status", "valueMap(map='status')", weight=5),), _SPEC.value_maps)
+    return _problems(spark, spec, [mapping.RegionField("Order.Status", "string", declared)])
 
 
-@query(_A + " SELECT DISTINCT contract || '/' || localName AS path FROM b EXCEPT SELECT contract || '/' || localName FROM b WHERE key % 2 = 0")
+@query(_A + " SELECT 'T1' AS code, path AS place, 'no mapping entry' AS detail FROM (SELECT DISTINCT contract || '/' || localName AS path FROM b EXCEPT SELECT contract || '/' || localName FROM b WHERE key % 2 = 0)")
 def mapping_totality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = attributes(spark, sf_dir).select(F.concat_ws("/", "sourceContract", "localName").alias("path"), "key")
-    return paths.select("path").distinct().join(paths.where("key % 2 = 0").select("path"), "path", "left_anti")
+    """Fields without an entry: a specification is compiled on the driver, so its fields are those of its contracts."""
+    paths = attributes(spark, sf_dir).groupBy(F.concat_ws("/", "sourceContract", "localName").alias("path")).agg(F.max(F.col("key") % 2 == 0).alias("mapped")).collect()
+    spec = mapping.Spec(tuple(mapping.Entry(r["path"], r["path"], "identity") for r in paths if r["mapped"]))
+    return _problems(spark, spec, [mapping.RegionField(r["path"], "string") for r in paths])
+
+
+_ALL = mapping.Spec(
+    tuple(
+        mapping.Entry(f"O.{a}", b, t, weight=1)
+        for a, b, t in (
+            ("Id", "same", "identity"), ("Day", "said", "formatDate(fmt='dd/MM/yyyy')"), ("At", "day", "toLocalDate(zone='Europe/London')"), ("Parts", "joined", "concat(separator='|')"), ("Maybe", "first", "coalesce"),
+            ("Id2", "fixed", "constant('c')"), ("Name", "shout", "normaliseCase(mode='upper')"), ("Pair", "pair", r"compose(template='{a}-{b}', pattern='(?P<a>[A-Z])-(?P<b>[0-9]+)')"),
+        )
+    ),
+    bidirectional=False,
+)
+
+
+def _all_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, status, priority = F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")
+    at = (F.col("o_orderdate") + F.make_interval(hours=(key % 24).cast("int"))).cast("timestamp")
+    row = F.struct(
+        key.cast("string").alias("Id"), F.to_date("o_orderdate").alias("Day"), at.alias("At"), F.array(priority, status).alias("Parts"), F.array(F.when(key % 3 == 0, status), priority).alias("Maybe"),
+        status.alias("Id2"), F.lower(priority).alias("Name"), F.struct(status.alias("a"), key.cast("string").alias("b")).alias("Pair"),
+    )
+    return table(spark, sf_dir, "orders").select(key.alias("id"), row.alias("O"))
+
+
+def _all_steps() -> list[mapping.Step]:
+    kinds = {"Day": "date", "At": "dateTime", "Parts": "array", "Maybe": "array", "Pair": "object"}
+    return mapping.compile_spec(_ALL, [mapping.RegionField(e.region, kinds.get(e.region[2:], "string")) for e in _ALL.entries], {})
+
+
+_ALL_SQL = """WITH o AS (SELECT o_orderkey AS id, o_orderdate AS d, o_orderdate + to_hours(CAST(o_orderkey % 24 AS INT)) AS t, o_orderstatus AS s, o_orderpriority AS p FROM orders),
+m AS (SELECT *, CAST((t AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/London' AS DATE) AS london FROM o)"""
+
+
+@query(_ALL_SQL + """ SELECT id, CAST(id AS VARCHAR) AS same, strftime(d, '%d/%m/%Y') AS said, strftime(london, '%Y-%m-%d') AS day, p || '|' || s AS joined, CASE WHEN id % 3 = 0 THEN s ELSE p END AS first, 'c' AS fixed, upper(p) AS shout, s || '-' || id AS pair FROM m""")
+def transforms_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transforms that query map_forward does not use."""
+    out = mapping.forward(_all_orders(spark, sf_dir), _all_steps(), ["id"])
+    return out.select("id", *[F.col(f"canonical.{c}").cast("string").alias(c) for c in ("same", "said", "day", "joined", "first", "fixed", "shout", "pair")])
+
+
+@query(_ALL_SQL + """ SELECT id, CAST(id AS VARCHAR) AS same, strftime(d, '%Y-%m-%d') AS day, strftime((london::TIMESTAMP AT TIME ZONE 'Europe/London') AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS at, p || ',' || s AS parts, upper(p) AS name, s AS a, CAST(id AS VARCHAR) AS b FROM m""")
+def transforms_reverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """And back; coalesce and constant have no reverse."""
+    out = mapping.reverse(mapping.forward(_all_orders(spark, sf_dir), _all_steps(), ["id"]), _all_steps(), ["id"])
+    r = lambda c: F.col(f"region.O.{c}")
+    return out.select("id", r("Id").alias("same"), r("Day").cast("string").alias("day"), F.date_format(r("At"), "yyyy-MM-dd HH:mm:ss").alias("at"), F.array_join(r("Parts"), ",").alias("parts"), r("Name").alias("name"), r("Pair.a").alias("a"), r("Pair.b").alias("b"))
 
 
 # --- invariants, release, evaluation, journal ----------------------------------------------------------------------------------------
