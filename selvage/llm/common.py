@@ -33,8 +33,8 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def join_spread(rows: DataFrame, told: DataFrame, by: list[str], tie: list[str], groups: DataFrame | None = None, size: str = "n") -> DataFrame:
-    """rows joined with told on `by`. groups (or told itself): cheap to read, one row for each value of `by`, with `size`,
+def join_spread(rows: DataFrame, told: DataFrame, by: list[str], tie: list[str], groups: DataFrame | None = None, size: str = "n", how: str = "inner") -> DataFrame:
+    """rows joined with told on `by` (inner or left). groups (or told itself): cheap to read, one row for each value of `by`, with `size`,
     how many of the rows have it.
 
     The rows of a value that has over SHARE of them are dealt, by a hash of `tie`, to several tasks. Such values are
@@ -45,12 +45,12 @@ def join_spread(rows: DataFrame, told: DataFrame, by: list[str], tie: list[str],
     total, top = groups.agg(F.sum(size), F.max(size)).first()
     share = max(SHARE, (total or 0) // HOTTEST)
     if (top or 0) <= share:
-        return rows.join(told, by)
+        return rows.join(told, by, how)
     hot = F.broadcast(groups.where(F.col(size) > share).select(*by, F.ceil(F.col(size) / share).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     dealt = rows.join(hot, by, "left").withColumn("part", F.pmod(F.xxhash64(*tie), parts).cast("int")).drop("parts")
     told = told.join(hot, by, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(told, [*by, "part"]).drop("part")
+    return dealt.join(told, [*by, "part"], how).drop("part")
 
 
 def chunks(sizes: list[int], most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:

@@ -20,6 +20,8 @@ from selvage.llm.common import RangeHash, mix, tune
 
 #: Most bytes of item text that one broadcast block holds; larger item sets are scanned in several blocks.
 BLOCK_BYTES = 8 << 20
+#: Bytes of text that are compared with one block after the other, where there are several.
+SCAN_BYTES = 32 << 20
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
 
@@ -93,14 +95,40 @@ def scan_texts(texts: list[bytes | None], sets: Iterator[WindowSet]) -> list[tup
     return [(n, hit, sorted(items)) for n, hit, items in out]
 
 
-def _scan(blocks: list, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _found(blocks: list, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list]]]:
+    """Batches (row, text) with what scan_texts finds in each of their texts.
+
+    The windows of one block are built once for a task; those of several, of which a worker holds one at a time, for every
+    SCAN_BYTES of text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
         single = [WindowSet(blocks[0].value, width)] if len(blocks) == 1 else None
+        held, size = [], 0
+
+        def done() -> Iterator[tuple[pa.RecordBatch, list]]:
+            texts = [t for batch in held for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            found, at = scan_texts(texts, single or (WindowSet(b.value, width) for b in blocks)), 0
+            for batch in held:
+                yield batch, found[at : at + len(batch)]
+                at += len(batch)
+
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            held.append(batch)
+            size += batch.nbytes
+            if len(blocks) < 2 or size >= SCAN_BYTES:
+                yield from done()
+                held, size = [], 0
+        yield from done()
+
+    return run
+
+
+def _scan(blocks: list, width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in _found(blocks, width)(batches):
             spans = []
-            found = scan_texts(texts, single or (WindowSet(b.value, width) for b in blocks))
-            for text, (_, hit, _) in zip(texts, found):
+            for text, (_, hit, _) in zip(batch.column(1).cast(pa.binary()).to_pylist(), found):
                 spans.append([])
                 if hit.any():
                     start, end = word_spans(text)
@@ -160,22 +188,24 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     blocks = _blocks(benchmark, "item_id", "text")
     tune(docs.sparkSession)
-    find = _scan(blocks, width)
+    find = _found(blocks, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (found,) = find(iter([batch]))
+        for batch, found in find(batches):
             texts, keep = [], []
-            for text, spans, n, hits in zip(batch.column(1).to_pylist(), found.column(4).to_pylist(), found.column(1).to_pylist(), found.column(2).to_pylist()):
-                if spans:
+            for text, (n, hit, _) in zip(batch.column(1).to_pylist(), found):
+                if hit.any():
                     raw, at, parts = text.encode(), 0, []
-                    for s in spans:
-                        parts.append(raw[at : s["start"]])
-                        at = s["end"]
+                    start, end = word_spans(raw)
+                    edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0]))
+                    for a, b in zip(edge[::2], edge[1::2]):
+                        parts.append(raw[at : int(start[a])])
+                        at = int(end[b - 1])
                     text = b"".join([*parts, raw[at:]]).decode()
                 texts.append(text)
-                keep.append(not (hits and hits == n))
-            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), found.column(2)], names=["row", "text", "n_hit"]).filter(pa.array(keep))
+                keep.append(not (n and hit.all()))
+            hits = pa.array([int(hit.sum()) for _, hit, _ in found], pa.int64())
+            yield pa.record_batch([batch.column(0), pa.array(texts, pa.string()), hits], names=["row", "text", "n_hit"]).filter(pa.array(keep, pa.bool_()))
 
     done = packed.mapInArrow(run, T.StructType([packed.schema["row"]]).add("text", "string").add("n_hit", "long"))
     new = {text_col: F.when(F.col("n_hit") > 0, F.col("text")).otherwise(F.col("row").getField(text_col))}

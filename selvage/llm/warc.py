@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from selvage.llm.common import shared_folder, tune
+from selvage.llm.common import cut, join_spread, shared_folder, tune
 
 #: Bytes of a block in one record, of a chunk of the transfer framing, and records of a file.
 SEGMENT, CHUNK, FILE_RECORDS = 4096, 1500, 10_000
@@ -156,9 +156,10 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     ).withColumn("sha1", F.sha1("payload")).withColumn("bytes", F.octet_length("payload"))
     name = F.concat(F.lit("urn:page:"), F.coalesce("id", F.lit("null")), F.lit(":"), F.col("row").cast("string"))
     rows = rows.withColumn("name", name)
-    large = rows.where(F.col("bytes") >= least).where("order IS NOT NULL")
-    heads = large.groupBy("sha1", "bytes").agg(F.max(F.struct("order", "name")).alias("head"), F.count("*").alias("n")).where("n > 1").select(F.col("sha1").alias("h"), F.col("bytes").alias("b"), "head")
-    joined = rows.join(heads, (F.col("sha1") == F.col("h")) & (F.col("bytes") == F.col("b")), "left")
+    # a page that many rows have makes one head; its rows are dealt over several tasks
+    own = F.when(F.col("order").isNotNull(), F.struct("order", "name"))
+    heads = rows.where(F.col("bytes") >= least).groupBy("sha1", "bytes").agg(F.max(own).alias("head"), F.count("*").alias("n"))
+    joined = join_spread(rows, cut(heads.where("n > 1 AND head IS NOT NULL")), ["sha1", "bytes"], ["row"], how="left")
     refers = F.when(F.col("head.order").isNotNull() & ~F.col("order").eqNullSafe(F.col("head.order")), F.col("head.name"))
     ready = joined.select("name", "url", "payload", refers.alias("refers"))
     done = ready.mapInArrow(_write(segment), "record binary")

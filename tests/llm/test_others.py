@@ -176,6 +176,17 @@ def test_warc_segments_in_several_files(spark, tmp_path):
     assert {n: bytes(r["payload"]) for n, r in got.items()} == payloads and all(r["whole"] for r in got.values())
 
 
+def test_warc_rows_of_a_common_page(spark, monkeypatch):
+    """A page of many rows, with and without ids, has one head; its rows are dealt over several tasks."""
+    from selvage.llm import common
+
+    monkeypatch.setattr(common, "SHARE", 5)
+    rows = [(i, "u", "common") for i in range(40)] + [(None, "u", "common"), (None, "u", "alone"), (50, "u", "single"), (None, "u", "single"), (60, "u", None), (61, "u", "")]
+    got = {(r["page_id"], r["payload_bytes"]): (r["record_type"], r["refers_to"]) for r in warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i, 6] == ("revisit", 39) for i in range(39)) and got[39, 6] == ("response", None) and got[None, 6] in {("revisit", 39), ("revisit", 50)}
+    assert got[50, 6] == ("response", None) and got[None, 5] == ("response", None) and got[60, 0] == ("revisit", 61) and got[61, 0] == ("response", None)
+
+
 def test_warc_segments_are_verified():
     parts = warc.records("urn:x", "u", b"payload" * 500, warc.base32_sha1(b"payload" * 500), None, 300)
     rows = []
