@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field, replace
+import json
+import os
+from dataclasses import dataclass, field, fields, replace
 
 
 class ConfigError(ValueError):
@@ -70,3 +72,30 @@ class Settings:
     def with_overrides(self, **values: object) -> Settings:
         """A copy with other values; unknown names raise TypeError."""
         return replace(self, **values)
+
+    @classmethod
+    def load(cls, path: str | None = None, environment: dict[str, str] | None = None, prefix: str = "SELVAGE_") -> Settings:
+        """Defaults, overridden by a JSON file (or YAML, where that library is installed) and then by the environment:
+        SELVAGE_LINK=0.7 sets `link`; values are JSON, anything else is a text. Unknown names raise ConfigError."""
+        values: dict[str, object] = {}
+        if path is not None:
+            with open(path, encoding="utf-8") as f:
+                text = f.read()
+            try:
+                values = json.loads(text)
+            except ValueError:
+                import yaml
+
+                values = yaml.safe_load(text)
+            if not isinstance(values, dict):
+                raise ConfigError(f"{path} does not hold settings")
+        for name, text in (os.environ if environment is None else environment).items():
+            if name.startswith(prefix):
+                try:
+                    values[name[len(prefix) :].lower()] = json.loads(text)
+                except ValueError:
+                    values[name[len(prefix) :].lower()] = text
+        kinds = {f.name: f for f in fields(cls)}
+        if unknown := set(values) - set(kinds):
+            raise ConfigError(f"unknown setting {min(unknown)}")
+        return cls(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items()})

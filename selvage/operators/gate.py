@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -125,6 +126,22 @@ class Rule:
         return out
 
 
+def load_rules(text: str) -> tuple[int, tuple[Rule, ...]]:
+    """Version and rules of a policy written as JSON: {"version": n, "rules": [{"id", "verdict", and a rule's conditions}]}."""
+    document = json.loads(text)
+    known = {f.name for f in fields(Rule)}
+    rules = []
+    for r in document["rules"]:
+        if extra := set(r) - known:
+            raise ValueError(f"unknown condition {min(extra)}")
+        if r.get("verdict") not in ("allow", "block"):
+            raise ValueError(f"rule {r.get('id')} must allow or block")
+        rules.append(Rule(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items()}))
+    if len({r.id for r in rules}) < len(rules):
+        raise ValueError("rule ids repeat")
+    return int(document["version"]), tuple(rules)
+
+
 POLICY_VERSION = 3
 RULES = (
     Rule("allow-structural", "allow", all_in=("STRUCTURAL",)),
@@ -179,24 +196,30 @@ def classify(documents: DataFrame, key: bytes, text: str = "text", licence: Colu
 # --- ledger --------------------------------------------------------------------------------------------------------------
 
 
-def chain(entries: DataFrame, region: str, order: list[str], fields: dict[str, Column], key: bytes | None = None) -> DataFrame:
+def chain(entries: DataFrame, region: str, order: list[str], fields: dict[str, Column], key: bytes | None = None, stored: DataFrame | None = None) -> DataFrame:
     """region, seq, entryId, body, prevHash, hash (and signature): entries chained in their region, each hash over the hash
-    before it and the entry's canonical JSON.
+    before it and the entry's canonical JSON. stored(region, seq, hash): a chain that they continue.
 
     A chain is sequential by nature. Regions run in parallel; each is sorted and streamed with the last hash as its only
     state, so a task holds one batch of a region, however long its chain is.
     """
     body = canonical(**fields)
     rows = entries.select(F.col(region).cast("string").alias("region"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], body.alias("body"))
-    sorted_ = rows.repartition("region").sortWithinPartitions("region", *[f"o{i}" for i in range(len(order))]).select("region", "body")
+    tail = F.struct(F.lit(0).cast("bigint").alias("seq"), F.lit(None).cast("string").alias("hash"))
+    if stored is None:
+        rows = rows.withColumn("tail", tail)
+    else:
+        tails = stored.groupBy(F.col("region").cast("string").alias("region")).agg(F.max(F.struct(F.col("seq").cast("bigint").alias("seq"), "hash")).alias("last"))
+        rows = rows.join(tails, "region", "left").withColumn("tail", F.coalesce("last", tail))
+    sorted_ = rows.repartition("region").sortWithinPartitions("region", *[f"o{i}" for i in range(len(order))]).select("region", "body", F.col("tail.seq").alias("from_seq"), F.col("tail.hash").alias("from_hash"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, seq, last = None, 0, None
         for frame in frames:
             out = []
-            for r, b in zip(frame["region"], frame["body"]):
+            for r, b, from_seq, from_hash in zip(frame["region"], frame["body"], frame["from_seq"], frame["from_hash"]):
                 if r != now:
-                    now, seq, last = r, 0, None
+                    now, seq, last = r, int(from_seq), from_hash
                 seq += 1
                 entry = f"ledger-{r}-{seq:06d}"
                 digest = hashlib.sha256(f"{last or 'null'}|{entry}|{b}".encode()).hexdigest()

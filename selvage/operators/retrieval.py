@@ -212,3 +212,13 @@ def neighbours(queries: DataFrame, rows: DataFrame, id_col: str, k: int = 25, ve
     every = functools.reduce(DataFrame.unionAll, found)
     order = W.partitionBy("query").orderBy(F.desc("score"), F.asc("id"))
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", F.col("id").alias(id_col), "score", "rank")
+
+
+def attribute(attributes: DataFrame, attribute_id: str, id_col: str = "attributeId") -> DataFrame:
+    """The row of an attribute; empty if there is none."""
+    return attributes.where(F.col(id_col) == attribute_id)
+
+
+def neighbours_of(attributes: DataFrame, attribute_id: str, k: int = 25, vector_col: str = "embedding", id_col: str = "attributeId") -> DataFrame:
+    """id, score, rank: the attributes nearest to one of them, which is left out; empty for an unknown one."""
+    return neighbours(attribute(attributes, attribute_id, id_col), attributes, id_col, k, vector_col).drop("query")

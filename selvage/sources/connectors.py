@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,16 @@ def list_files(spark: SparkSession, folder: str, system: str, region: str, repos
     return files.select(F.concat(F.lit(f"git://{repository}/"), at).alias("uri"), F.lit(system).alias("system"), F.lit(region).alias("region"), media_type(F.col("path")).alias("media_type"), F.col("path"), F.lit(version).alias("version"))
 
 
+def health(spark: SparkSession, folder: str) -> tuple[bool, str]:
+    """Whether a source can be listed, and why not; nothing is read."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    try:
+        found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    except Py4JJavaError as error:
+        return False, str(error.java_exception)
+    return found, "" if found else f"{folder} does not exist"
+
+
 def read_files(spark: SparkSession, folder: str, kept: DataFrame) -> DataFrame:
     """kept with the content of its files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
