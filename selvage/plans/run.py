@@ -1,13 +1,15 @@
 """A run from sources to clusters and coverage: stages written as tables, a journal, checkpoints, and the library's API.
 
-Each stage is a DataFrame written to `<root>/<run>/<stage>`, so a run can be inspected and resumed; only control (states,
-manifests, decisions) is on the driver.
+Each stage is a DataFrame written to `<root>/<run>/<stage>`, so a run can be inspected and resumed. Control (states,
+journals, decisions, first responses) is a small document a run under `<root>/_control`: an engine that is made anew on
+the same root goes on with the runs it finds there.
 """
 
 from __future__ import annotations
 
 import base64
 import datetime
+import hashlib
 import json
 from dataclasses import dataclass, field
 
@@ -19,6 +21,11 @@ from selvage.operators import agents, emit, gate, match, model, retrieval
 from selvage.sources import connectors, parsers
 
 
+#: States in which a run of a domain lets another one begin.
+DONE = ("RELEASED", "FAILED")
+RESPONSES = "responses.json"
+
+
 class EngineError(Exception):
     status, title = 500, "internal"
 
@@ -68,6 +75,40 @@ class Engine:
     states: dict[str, dict] = field(default_factory=dict)
     responses: dict[tuple[str, str], object] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        for name, text in self._stored():
+            document = json.loads(text)
+            if name == RESPONSES:
+                self.responses = {(route, key): value for route, key, value in document}
+            else:
+                self.states[document["runId"]] = document
+
+    # --- control ---
+
+    def _path(self, *parts: str):  # noqa: ANN202
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join((self.root, "_control", *parts)))
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _stored(self) -> list[tuple[str, str]]:
+        folder, fs = self._path()
+        if not fs.exists(folder):
+            return []
+        files = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().endswith(".json")]
+        return [(f.getName(), self.spark.read.text(f.toString(), wholetext=True).first()[0]) for f in files]
+
+    def _store(self, name: str, document: object) -> None:
+        """Written beside and put in place, so a reader finds the old document or the new one."""
+        beside, fs = self._path(f"{name}.new")
+        path, _ = self._path(name)
+        out = fs.create(beside, True)
+        out.write(bytearray(json.dumps(document).encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(beside, path)
+
+    def save(self, run_id: str) -> None:
+        self._store(f"run-{hashlib.sha256(run_id.encode()).hexdigest()[:32]}.json", self.states[run_id])
+
     # --- tables ---
 
     def write(self, df: DataFrame, run_id: str, stage: str) -> DataFrame:
@@ -87,16 +128,18 @@ class Engine:
     def note(self, run_id: str, kind: str, **detail: object) -> None:
         events = self.state(run_id)["journal"]
         events.append({"runId": run_id, "seq": len(events) + 1, "at": datetime.datetime.now(datetime.UTC).isoformat(), "kind": kind, "detail": json.dumps(detail, sort_keys=True)})
+        self.save(run_id)
 
     def journal(self, run_id: str, from_seq: int = 1, most: int = 100) -> list[dict]:
         return [e for e in self.state(run_id)["journal"] if e["seq"] >= from_seq][:most]
 
     def once(self, route: str, key: str | None, call) -> object:  # noqa: ANN001
-        """The first response of a route and key, also for repeats."""
+        """The first response (a JSON value) of a route and key, also for repeats and after a restart."""
         if key is None:
             return call()
         if (route, key) not in self.responses:
             self.responses[route, key] = call()
+            self._store(RESPONSES, [[r, k, v] for (r, k), v in self.responses.items()])
         return self.responses[route, key]
 
     # --- stages ---
@@ -106,6 +149,8 @@ class Engine:
         catalogue_domain, has_live_route)."""
         if run_id in self.states:
             raise Conflict(f"{run_id} exists")
+        if active := [r for r, s in self.states.items() if s["domain"] == domain and s["state"] not in DONE]:
+            raise Conflict(f"{domain} has the active run {active[0]}")
         self.states[run_id] = {"runId": run_id, "domain": domain, "state": "RUNNING", "journal": []}
         self.note(run_id, "stage-started", stage="S1")
         kept, excluded = connectors.filter_relevant(raw, domain, self.settings, classify)
@@ -151,6 +196,7 @@ class Engine:
             raise Conflict("the corpus has changed")
         if proposals is None:
             state["state"] = "AWAIT_MODEL_PROVIDER"
+            self.save(run_id)
             return state
         clusters, attributes = self.read(run_id, "clusters"), self.read(run_id, "attributes")
         self.write(agents.aligned_without_standard(clusters), run_id, "alignments")
@@ -172,8 +218,10 @@ class Engine:
         self.note(run_id, "stage-finished", stage="S7")
         return state
 
-    def decide(self, run_id: str, candidate_id: str, status: str, sme: str) -> None:
-        """A person's decision on a candidate; approved or rejected."""
+    def decide(self, run_id: str, candidate_id: str, status: str, sme: str, corpus_hash: str | None = None) -> None:
+        """A person's decision on a candidate; approved or rejected. corpus_hash: what they saw; another corpus is refused."""
+        if corpus_hash is not None and corpus_hash != self.state(run_id).get("corpusHash"):
+            raise Conflict("the corpus has changed")
         if status not in ("approved", "rejected") or not sme:
             raise Invalid("a decision is approved or rejected, by somebody")
         candidates = self.read(run_id, "candidates")
@@ -202,7 +250,11 @@ class Engine:
         if not all(report[f"gate{k}Pass"] for k in (1, 2, 3)):
             raise GatesClosed(run_id)
         files = {f"{r['scope'].replace(':', '/')}/{r['entity']}.schema.json": r["document"].encode() for r in emit.entity_schemas(self.read(run_id, "candidates")).toLocalIterator()}
-        return emit.release(self.state(run_id)["domain"], version, run_id, files, report, key)
+        manifest = emit.release(self.state(run_id)["domain"], version, run_id, files, report, key)
+        self.state(run_id)["state"] = "RELEASED"
+        self.note(run_id, "released", version=version)
+        return manifest
 
     def pause(self, run_id: str) -> None:
         self.state(run_id)["state"] = "PAUSED"
+        self.save(run_id)

@@ -57,6 +57,17 @@ def test_api_helpers(spark, tmp_path):
     assert run.offset_of(run.cursor(12)) == 12 and run.offset_of(None) == 0
     with pytest.raises(run.Invalid):
         run.offset_of("%%")
+    engine.states["r1"] = {"runId": "r1", "domain": "claims", "state": "AWAIT_TRIAGE", "journal": [], "corpusHash": "h", "decisions": {"c": ["approved", "me"]}}
+    engine.note("r1", "stage-finished", stage="S4")
+    engine.pause("r1")
+    engine.once("POST /runs", "key", lambda: {"runId": "r1"})
+    again = run.Engine(spark, str(tmp_path), {})
+    assert again.state("r1") == engine.state("r1") and again.state("r1")["state"] == "PAUSED" and [e["seq"] for e in again.journal("r1")] == [1]
+    assert again.once("POST /runs", "key", lambda: 1 / 0) == {"runId": "r1"}
+    with pytest.raises(run.Conflict):
+        again.create_run("r2", "claims", None)
+    with pytest.raises(run.Conflict):
+        again.decide("r1", "c", "approved", "me", corpus_hash="other")
     calls = []
     assert [engine.once("r", "k", lambda: calls.append(1) or len(calls)) for _ in range(3)] == [1, 1, 1] and len(calls) == 1
     with pytest.raises(run.NotFound) as error:
