@@ -26,3 +26,15 @@ OP9 = """WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FRO
 l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
 r AS (SELECT vec_id AS node, vec_id AS low FROM embeddings UNION SELECT l.y, r.low FROM r JOIN l ON r.node = l.x WHERE r.low < l.y), c AS (SELECT node, min(low) AS component_id FROM r GROUP BY node)
 SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings JOIN c ON node = vec_id"""
+
+#: Every window of 400 bytes by its MD5; what windows that occur twice cover is cut out of the bytes.
+OP2 = """WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents), n AS (SELECT doc_id, b, octet_length(b) AS n FROM d),
+w AS (SELECT doc_id, s, md5(b[s:s + 399]) AS h FROM (SELECT doc_id, b, unnest(range(1, n - 398)) AS s FROM n WHERE n >= 400)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+hit AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM w WHERE h IN (SELECT h FROM twice)),
+runs AS (SELECT doc_id, s, sum(CASE WHEN gap IS NULL OR gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM hit),
+spans AS (SELECT doc_id, min(s) AS a, max(s) + 399 AS z FROM runs GROUP BY doc_id, run),
+edges AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+cut AS (SELECT e.doc_id, sum(z - a + 1) AS removed, count(*) AS k, string_agg(CASE WHEN a > before + 1 THEN hex(b[before + 1:a - 1]) ELSE '' END, '' ORDER BY a) AS head, max(z) AS last FROM edges e JOIN n ON n.doc_id = e.doc_id GROUP BY e.doc_id)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k, 0) AS BIGINT) AS n_spans,
+  sha256(CASE WHEN removed IS NULL THEN b ELSE unhex(head || CASE WHEN last < n THEN hex(b[last + 1:n]) ELSE '' END) END) AS kept_sha256, removed IS NOT NULL AS repeated FROM n LEFT JOIN cut ON n.doc_id = cut.doc_id"""

@@ -83,4 +83,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pii, op2_suffix, op3_simhash, op4_packing, op5_decontaminate, op6_toxicity, op7_warc, op8_sharding, op9_embeddings, op10_language)
 }
 #: The other contracts need XXH64, tokenizers or learned models; tests/llm compares those queries with brute force.
-SQL: dict[str, str] = {"op5_decontaminate": oracle.OP5, "op7_warc": oracle.OP7, "op9_embeddings": oracle.OP9}
+SQL: dict[str, str] = {"op2_suffix": oracle.OP2, "op5_decontaminate": oracle.OP5, "op7_warc": oracle.OP7, "op9_embeddings": oracle.OP9}
