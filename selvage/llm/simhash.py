@@ -546,7 +546,24 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float)
     return read.select("a", "b", "text_a", "text_b").mapInArrow(_verify(width, similarity), "a bigint, b bigint")
 
 
-def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], width: int, similarity: float) -> DataFrame:
+def block_pairs(rows: DataFrame, most: int) -> DataFrame:
+    """rows(key, node, ...) with a key of over `most` rows cut in blocks: a row goes to a key of its own for each pair of its
+    block with a block, so any two rows of the key still meet, and no key has more than about 2 * most rows.
+
+    Keys that collide by their hash are only compared in vain.
+    """
+    hot = rows.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > most)
+    if hot.isEmpty():
+        return rows
+    hot = cut(hot)
+    met = join_spread(rows, hot, ["key"], ["node"], size="size", how="left")
+    blocks = F.coalesce(F.ceil(F.col("size") / most), F.lit(1)).cast("int")
+    dealt = met.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    key = F.when(blocks > 1, F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))).otherwise(F.col("key"))
+    return dealt.select(*[key.alias(c) if c == "key" else F.col(c) for c in rows.columns])
+
+
+def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], width: int, similarity: float, most: int = MOST) -> DataFrame:
     """Links a, b among distinct sets(node, n, fp, keys) whose components are those of all pairs of that similarity.
 
     First a few candidates of each key are compared. The nodes of a key that may be similar to one they are not joined with
@@ -556,7 +573,7 @@ def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], wi
     radius = candidate_radius(similarity)
 
     def candidates(rows: DataFrame, every: bool) -> DataFrame:
-        dealt = rows.select(F.explode("keys").alias("key"), "node", "n", "fp", "own").repartition("key").sortWithinPartitions("key", "node")
+        dealt = block_pairs(rows.select(F.explode("keys").alias("key"), "node", "n", "fp", "own"), most).repartition("key").sortWithinPartitions("key", "node")
         return cut(dealt.mapInArrow(_candidates(radius, similarity, every), "a bigint, b bigint").distinct())
 
     few = candidates(sets.withColumn("own", F.col("node")), False)
@@ -572,7 +589,7 @@ def similar_links(sets: DataFrame, text_of: Callable[[DataFrame], DataFrame], wi
     return cut(links.union(more))
 
 
-def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, most: int = MOST) -> DataFrame:
     """docs without near copies: of each group of documents whose sets of `width`-word shingles have a Jaccard similarity of
     at least `similarity`, directly or over others, the row of the smallest id stays.
 
@@ -602,7 +619,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         read = each.join(nodes, "node").select("node", F.col("first.k1").alias("k1"), F.col("first.k2").alias("k2"))
         return keyed.select("k1", "k2", "text").join(read, ["k1", "k2"]).groupBy("node").agg(F.first("text").alias("text"))
 
-    found = components(similar_links(sets, text_of, width, similarity))
+    found = components(similar_links(sets, text_of, width, similarity, most))
     grouped = each.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").groupBy(F.coalesce("component", "node").alias("label")).agg(F.min("first").alias("first"))
     kept = grouped.select("first.k1", "first.k2").union(own.where("node IS NULL").select("k1", "k2")).groupBy("k1", "k2").agg(F.lit(1).alias("one"))
     repeated = own.groupBy("k1", "k2").agg(F.count("*").alias("n"))

@@ -100,7 +100,8 @@ def jaccard_groups(texts, width=5, least=0.8):
     return sorted(set(label))
 
 
-def test_drop_similar_near_the_limit(spark):
+@pytest.mark.parametrize("most", [6, 8192])
+def test_drop_similar_near_the_limit(spark, most):
     """Pairs, chains and large families just below and above a similarity of 0.8 against all pairs of sets."""
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
@@ -116,7 +117,26 @@ def test_drop_similar_near_the_limit(spark):
             texts.append(" ".join(last if len(last) > 4 else base[1:]))
     rng.shuffle(texts)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
-    assert sorted(r["doc_id"] for r in simhash.drop_similar(df).collect()) == jaccard_groups(texts)
+    assert sorted(r["doc_id"] for r in simhash.drop_similar(df, most=most).collect()) == jaccard_groups(texts)
+
+
+@pytest.mark.parametrize("low,least,most", [(0.76, 0, 0), (0.80, 0.99, 1), (0.85, 0.99, 1), (0.90, 0.99, 1)])
+def test_recall_of_near_copies_by_similarity(spark, low, least, most):
+    """Pairs of texts of 300 words: of those at 0.8 and more all but some ten thousandths are found, below it none."""
+    rng = random.Random(int(low * 100))
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    texts = []
+    while len(texts) < 600:
+        base = [word() for _ in range(300)]
+        copy = list(base)
+        for _ in range(rng.randint(1, 9)):
+            copy[rng.randrange(300)] = word()
+        a, b = ({tuple(t[i : i + 5]) for i in range(296)} for t in (base, copy))
+        if low <= len(a & b) / len(a | b) < low + (0.04 if low < 0.8 else 0.05):
+            texts += [" ".join(base), " ".join(copy)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    gone = 600 - simhash.drop_similar(df).count()
+    assert least * 300 <= gone <= most * 300
 
 
 def test_drop_similar_repeated_passages(spark):
