@@ -12,7 +12,9 @@ from selvage.operators import chunks, gate, match
 from selvage.plans.catalogue import _BLOCKS, attributes, query, table
 from selvage.sources import parsers
 
-_K = F.col("p_partkey").cast("string")
+
+def _k() -> Column:
+    return F.col("p_partkey").cast("string")
 
 
 def _text(*parts: str | Column) -> Column:
@@ -23,7 +25,7 @@ def _artefacts(spark: SparkSession, sf_dir: str, content: Column, media_type: st
     """An artefact x<key> for each part."""
     kind = F.lit(media_type) if isinstance(media_type, str) else media_type
     return table(spark, sf_dir, "part").select(
-        _text("x", _K).alias("artefactId"), F.lit("run-1").alias("runId"), F.lit("us").alias("region"), F.lit("git").alias("system"), F.lit("contract").alias("uri"), kind.alias("mediaType"),
+        _text("x", _k()).alias("artefactId"), F.lit("run-1").alias("runId"), F.lit("us").alias("region"), F.lit("git").alias("system"), F.lit("contract").alias("uri"), kind.alias("mediaType"),
         F.sha2(content, 256).alias("contentHash"), F.lit(1).alias("evidenceTier"), F.encode(content, "UTF-8").alias("content"),
     )
 
@@ -35,7 +37,7 @@ def _xsd() -> Column:
         '<xs:schema xmlns:xs="http://www.w3.org/2001/XMLSchema"><xs:complexType name="Base"><xs:sequence><xs:element name="base" type="xs:string" minOccurs="0"/></xs:sequence></xs:complexType>',
         '<xs:complexType name="T"><xs:complexContent><xs:extension base="Base"><xs:sequence><xs:element name="size" type="xs:int" maxOccurs="', many, '"/></xs:sequence>',
         '<xs:choice id="pick"><xs:element name="a" type="xs:date"/><xs:element name="b" type="xs:boolean"/></xs:choice><xs:attribute name="code" type="xs:token" use="', use, '"/></xs:extension></xs:complexContent></xs:complexType>',
-        '<xs:element name="Head" type="xs:string"/><xs:element name="P', _K, '" type="T" substitutionGroup="Head" nillable="true"/></xs:schema>',
+        '<xs:element name="Head" type="xs:string"/><xs:element name="P', _k(), '" type="T" substitutionGroup="Head" nillable="true"/></xs:schema>',
     )
 
 
@@ -76,7 +78,7 @@ def parse_wsdl(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _avro() -> Column:
     return _text(
-        '{"type":"record","name":"R","fields":[{"name":"s","type":"string","doc":"text ', _K, '"},{"name":"n","type":{"type":"array","items":"long"}},{"name":"t","type":{"type":"long","logicalType":"timestamp-millis"}},',
+        '{"type":"record","name":"R","fields":[{"name":"s","type":"string","doc":"text ', _k(), '"},{"name":"n","type":{"type":"array","items":"long"}},{"name":"t","type":{"type":"long","logicalType":"timestamp-millis"}},',
         '{"name":"d","type":{"type":"bytes","logicalType":"decimal"}},{"name":"r","type":{"type":"record","name":"Q","fields":[{"name":"i","type":"int"}]}},{"name":"u","type":["null","string"]}]}',
     )
 
@@ -104,8 +106,8 @@ def parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
-    deep = F.concat(F.repeat(F.lit('{"a":'), 140), F.lit('{"description":"deep '), _K, F.lit('@example.org"}'), F.repeat(F.lit("}"), 140))
-    flat = _text('{"info":{"title":"t', _K, '","description":"write to ', _K, '@example.org"},"example":{"v":"ex-', _K, '","w":[1,2]},"name":"nm-', _K, '","type":"object"}')
+    deep = F.concat(F.repeat(F.lit('{"a":'), 140), F.lit('{"description":"deep '), _k(), F.lit('@example.org"}'), F.repeat(F.lit("}"), 140))
+    flat = _text('{"info":{"title":"t', _k(), '","description":"write to ', _k(), '@example.org"},"example":{"v":"ex-', _k(), '","w":[1,2]},"name":"nm-', _k(), '","type":"object"}')
     content = F.when(F.col("p_partkey") % 50 == 0, deep).otherwise(flat)
     return parsers.structures(_artefacts(spark, sf_dir, content, "application/json"), "artefactId")
 
@@ -141,7 +143,7 @@ SELECT 'x' || k AS artefact, name, kind = 0 AND name = 'A' OR kind = 1 AND name
 def contract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A chunk for each component of a contract; `whole`: what it refers to, contains or extends is in it too."""
     kind = F.col("p_partkey") % 3
-    openapi = _text('{"components":{"schemas":{"A":{"properties":{"b":{"$ref":"#/components/schemas/B"}}},"B":{"type":"object","title":"t', _K, '"}}}}')
+    openapi = _text('{"components":{"schemas":{"A":{"properties":{"b":{"$ref":"#/components/schemas/B"}}},"B":{"type":"object","title":"t', _k(), '"}}}}')
     content = F.when(kind == 0, openapi).when(kind == 1, _avro()).otherwise(_xsd())
     media = F.when(kind == 0, "application/json").when(kind == 1, "application/avro+json").otherwise("application/xml")
     found = chunks.chunk_contracts(_artefacts(spark, sf_dir, content, media))
@@ -153,7 +155,7 @@ def contract_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT sha256(text) AS chunk_hash, min(artefact) AS artefact, 'run-1' AS run_id FROM c WHERE k % 4 <> 0 AND text NOT IN (SELECT text FROM c WHERE k % 4 = 0) GROUP BY text""")
 def chunk_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New chunks of a run: one of a hash, and none that the run has stored."""
-    own = table(spark, sf_dir, "part").select(_text("d", _K).alias("artefactId"), F.lit("c").alias("name"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 400).cast("string")).alias("text"), (F.col("p_partkey") % 4 == 0).alias("old"))
+    own = table(spark, sf_dir, "part").select(_text("d", _k()).alias("artefactId"), F.lit("c").alias("name"), F.concat_ws(" ", "p_name", (F.col("p_partkey") % 400).cast("string")).alias("text"), (F.col("p_partkey") % 4 == 0).alias("old"))
     stored = chunks.ingest(own.where("old").drop("old"), None, "run-1")
     return chunks.ingest(own.where("NOT old").drop("old"), stored, "run-1").select("chunk_hash", F.col("artefactId").alias("artefact"), "run_id")
 

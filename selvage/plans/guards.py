@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from selvage.operators import agents, emit
 from selvage.plans.catalogue import query, table
 
-_KEY = F.col("p_partkey")
+
+def _key() -> Column:
+    return F.col("p_partkey")
 
 
 def _name(prefix: str, key: Column) -> Column:
@@ -25,9 +27,9 @@ def scout_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT p_partkey AS key FROM part WHERE p_partkey % 5 IN (0, 1, 2)")
 def interpreter_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, ref = _KEY % 5, lambda a: F.lit(f"evref://us/git/{a}@0#/x")
+    k, ref = _key() % 5, lambda a: F.lit(f"evref://us/git/{a}@0#/x")
     refs = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(ref("own"), ref("other"))).when(k == 3, F.array(ref("own"))).when(k == 4, F.array(ref("own"), ref("own")))
-    return agents.interpreter(table(spark, sf_dir, "part").select(_KEY.alias("key"), refs.alias("evidenceRefs")), "own").select("key")
+    return agents.interpreter(table(spark, sf_dir, "part").select(_key().alias("key"), refs.alias("evidenceRefs")), "own").select("key")
 
 
 _RESOLVER = """WITH a AS (SELECT p_partkey AS id, 'e' || p_partkey AS e, CASE WHEN p_partkey // 2 % 2 = 0 THEN 'mandatory' ELSE 'optional' END AS level FROM part),
@@ -38,7 +40,7 @@ UNION ALL SELECT cluster, 'G3' FROM m WHERE kind IS NOT NULL AND bare UNION ALL
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = _KEY
+    k = _key()
     member = lambda key, region: F.struct(_name("a", key).alias("attributeId"), region.alias("region"))
     none = F.array().cast("array<struct<whyRejected:string>>")
     return table(spark, sf_dir, "part").select(
@@ -51,8 +53,8 @@ def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RESOLVER.format(sure=agents.SURE))
 def resolver_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules G1 to G5 on clusters of two attributes each."""
-    level = F.when((F.floor(_KEY / 2) % 2) == 0, "mandatory").otherwise("optional")
-    own = table(spark, sf_dir, "part").select(_name("a", _KEY).alias("attributeId"), F.array(_name("e", _KEY)).alias("evidenceRefs"), F.struct(level.alias("level")).alias("obligation"))
+    level = F.when((F.floor(_key() / 2) % 2) == 0, "mandatory").otherwise("optional")
+    own = table(spark, sf_dir, "part").select(_name("a", _key()).alias("attributeId"), F.array(_name("e", _key())).alias("evidenceRefs"), F.struct(level.alias("level")).alias("obligation"))
     return agents.resolver(_clusters(spark, sf_dir), own).select(F.col("clusterId").alias("cluster"), "rule")
 
 
@@ -64,8 +66,8 @@ def escalated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH a AS (SELECT p_partkey AS key, ['fit', 'partial', 'misfit', 'unassessed', 'else'][CAST(p_partkey % 5 AS INT) + 1] AS v, p_partkey % 2 = 0 AS ref, p_partkey % 3 = 0 AS why FROM part)
 SELECT key FROM a WHERE NOT CASE v WHEN 'fit' THEN ref AND NOT why WHEN 'partial' THEN ref AND why WHEN 'else' THEN false ELSE NOT ref END""")
 def aligner_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    verdict = F.get(F.array(*[F.lit(v) for v in ("fit", "partial", "misfit", "unassessed", "else")]), (_KEY % 5).cast("int"))
-    rows = table(spark, sf_dir, "part").select(_KEY.alias("key"), verdict.alias("verdict"), F.when(_KEY % 2 == 0, "std").alias("acordRef"), F.when(_KEY % 3 == 0, "differs").otherwise(" ").alias("deviation"))
+    verdict = F.get(F.array(*[F.lit(v) for v in ("fit", "partial", "misfit", "unassessed", "else")]), (_key() % 5).cast("int"))
+    rows = table(spark, sf_dir, "part").select(_key().alias("key"), verdict.alias("verdict"), F.when(_key() % 2 == 0, "std").alias("acordRef"), F.when(_key() % 3 == 0, "differs").otherwise(" ").alias("deviation"))
     return agents.aligner(rows).select("key")
 
 
@@ -73,8 +75,8 @@ def aligner_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthesised_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What code decides stays; a cluster without a proposal has none."""
     part = table(spark, sf_dir, "part")
-    computed = part.select(_name("c", _KEY).alias("clusterId"), F.col("p_size").alias("weight"))
-    proposals = part.where(_KEY % 3 > 0).select(_name("c", _KEY).alias("clusterId"), F.col("p_brand").alias("entity"), F.col("p_name").alias("attribute"), F.lit("r").alias("rationale"), F.lit(99).alias("weight"))
+    computed = part.select(_name("c", _key()).alias("clusterId"), F.col("p_size").alias("weight"))
+    proposals = part.where(_key() % 3 > 0).select(_name("c", _key()).alias("clusterId"), F.col("p_brand").alias("entity"), F.col("p_name").alias("attribute"), F.lit("r").alias("rationale"), F.lit(99).alias("weight"))
     return agents.synthesised(proposals, computed).select(F.col("clusterId").alias("cluster"), "entity", "weight")
 
 
@@ -82,7 +84,7 @@ def synthesised_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def logical_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attributes with their lineage, read back from the emitted model."""
     candidates = table(spark, sf_dir, "part").select(
-        F.col("p_brand").alias("entity"), _name("f", _KEY).alias("attribute"), F.lit("decimal").alias("dataType"), F.lit("1..1").alias("cardinality"), F.lit("core").alias("placement"), F.array(F.lit("cl-z"), _name("cl-", _KEY)).alias("clusterRefs"), F.struct(F.when(_KEY % 2 == 0, "sme").alias("sme")).alias("ratification")
+        F.col("p_brand").alias("entity"), _name("f", _key()).alias("attribute"), F.lit("decimal").alias("dataType"), F.lit("1..1").alias("cardinality"), F.lit("core").alias("placement"), F.array(F.lit("cl-z"), _name("cl-", _key())).alias("clusterRefs"), F.struct(F.when(_key() % 2 == 0, "sme").alias("sme")).alias("ratification")
     )
     each = F.from_json("model", "struct<name:string,attributes:array<struct<attribute:string,dataType:string,derivedFrom:array<string>,ratifiedBy:string>>>")
     rows = emit.logical_model(candidates).select(each.alias("m")).select(F.col("m.name").alias("entity"), F.explode("m.attributes").alias("a"))
